@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import byte_bpe, decontaminate, secrets
 
 QUERIES = {
+    "op3_secrets": secrets.op3_secrets,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
