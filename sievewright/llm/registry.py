@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, secrets
+from . import byte_bpe, decontaminate, quality_rules, secrets
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_secrets": secrets.op3_secrets,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
