@@ -1,9 +1,9 @@
 """Quality rules as weak supervision, in DataFrame and SQL expressions only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on counts of the text. The
-votes of all documents are counted by vote pattern; there are at most 3 to the
-number of rules such patterns, whatever the corpus, and expectation-maximisation
-runs on this small table: each round is one aggregate whose sums become the next
+votes of all documents that the base rules leave open are counted by vote
+pattern; there are at most 3 to the number of rules such patterns, whatever the
+corpus, and expectation-maximisation runs on this small table: each round is one aggregate whose sums become the next
 round's parameters. It estimates for both classes how often each rule votes good,
 bad or not at all (its accuracy), and the share of good documents; rules are
 taken as independent given the class. A document is kept if its posterior
@@ -78,7 +78,7 @@ def label_quality(documents: DataFrame, *, rounds: int = ROUNDS, threshold: floa
     counts = text_features(documents, id_col=id_col, text_col=text_col)
     votes, _ = written(counts.select("*", *(F.expr(vote_sql(r)).alias(f"v_{r}") for r in RULES)), "votes")
     names = [f"v_{r}" for r in RULES]
-    patterns, at = written(votes.groupBy(*names).agg(F.count("*").cast("double").alias("c")).coalesce(1), "patterns")
+    patterns, at = written(votes.where(f"NOT ({BASE_FAILED})").groupBy(*names).agg(F.count("*").cast("double").alias("c")).coalesce(1), "patterns")
     state: dict[str, float] = {}
     posterior = FIRST
     for _ in range(rounds):
@@ -107,7 +107,7 @@ def _oracle() -> str:
     parts = [
         FEATURES_SQL,
         f"votes AS (SELECT *, {', '.join(f'{vote_sql(r)} AS v_{r}' for r in RULES)} FROM feat)",
-        f"pat AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS c FROM votes GROUP BY ALL)",
+        f"pat AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS c FROM votes WHERE NOT ({BASE_FAILED}) GROUP BY ALL)",
     ]
     posterior = FIRST
     for k in range(ROUNDS):
