@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, quality_rules, secrets
+from . import byte_bpe, decontaminate, language, quality_ranker, quality_rules, secrets
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_language_id": language.op2_language_id,
     "op3_secrets": secrets.op3_secrets,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op7_quality_classifier": quality_ranker.op7_quality_classifier,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
