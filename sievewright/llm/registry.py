@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, quality_ranker, quality_rules, secrets, substring_dedup
+from . import byte_bpe, decontaminate, language, near_dedup, quality_ranker, quality_rules, secrets, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_quality_classifier": quality_ranker.op7_quality_classifier,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
