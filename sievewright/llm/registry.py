@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, near_dedup, quality_ranker, quality_rules, secrets, sharding, substring_dedup
+from . import byte_bpe, decontaminate, language, near_dedup, pii, quality_ranker, quality_rules, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_sharding": sharding.op4_sharding,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_pii": pii.op6_pii,
     "op7_quality_classifier": quality_ranker.op7_quality_classifier,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
