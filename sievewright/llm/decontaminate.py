@@ -107,18 +107,20 @@ def find_contamination(
     *,
     width: int = 13,
     block: int = 500_000,
-    keep_text: bool = False,
+    extra: tuple[str, ...] = (),
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: n_words, hits (sorted, merged [start, end) word ranges) and
-    items (ids, as strings, of the items with an occurring window)."""
+    items (ids, as strings, of the items with an occurring window), with the columns
+    of ``extra`` carried along."""
     spark = documents.sparkSession
     out = documents.select(
         F.col(id_col).alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
+        F.col(text_col).cast("string").alias("sw_text"),
+        *(F.col(c) for c in extra if c != text_col),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:long,end:long>>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
@@ -129,7 +131,7 @@ def find_contamination(
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(windows)), schema)
     if not at:
         out = out.mapInArrow(_search(spark.sparkContext.broadcast([])), schema)
-    return out if keep_text else out.drop("text")
+    return out.withColumnRenamed("sw_text", text_col) if text_col in extra else out.drop("sw_text")
 
 
 def _search(windows):
@@ -137,7 +139,7 @@ def _search(windows):
         searchers = _searchers(windows.value)
         for batch in batches:
             n_words, hits, items = [], [], []
-            for text, old_hits, old_items in zip(batch["text"], batch["hits"], batch["items"], strict=True):
+            for text, old_hits, old_items in zip(batch["sw_text"], batch["hits"], batch["items"], strict=True):
                 words = bench_words(text.as_py())
                 ranges = [(h["start"], h["end"]) for h in old_hits.as_py() or ()]
                 found = set(old_items.as_py() or ())
@@ -154,9 +156,10 @@ def _search(windows):
                 n_words.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in merged])
                 items.append(sorted(found))
-            columns = [batch["doc_id"], batch["text"], pa.array(n_words, pa.int64())]
-            columns += [pa.array(hits, batch.schema.field("hits").type), pa.array(items, batch.schema.field("items").type)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            made = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, batch.schema.field("hits").type)}
+            made["items"] = pa.array(items, batch.schema.field("items").type)
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
 
     return search
 

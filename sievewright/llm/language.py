@@ -196,6 +196,7 @@ def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
 def label_languages(documents: DataFrame, model: LanguageModel, *, penalty: float = 8.0, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (the share of the text's letters that carry that
     label) and spans of every row, with the columns of ``extra`` carried along."""
+    source = text_col if text_col in extra else "sw_text"
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def label(part: list[str | None], model: LanguageModel):
@@ -219,7 +220,7 @@ def label_languages(documents: DataFrame, model: LanguageModel, *, penalty: floa
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch["sw_text"].to_pylist()
+            texts = batch[source].to_pylist()
             if not model.langs:
                 out = [("und", 0.0, []) for _ in texts]
             else:
@@ -235,7 +236,7 @@ def label_languages(documents: DataFrame, model: LanguageModel, *, penalty: floa
             cols += [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], _SPAN)]
             yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if c != "sw_text"), "lang_pred", "score", "spans"])
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).cast("string").alias("sw_text"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), *extra, *([] if text_col in extra else [F.col(text_col).cast("string").alias("sw_text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "sw_text")
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
