@@ -1 +1 @@
-
+"""Relational operators: each takes and returns DataFrames or Columns."""

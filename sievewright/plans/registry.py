@@ -1,7 +1,9 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from . import queries_filings, queries_opportunities, queries_orders
+
 FLAGSHIP = "top5_pareto_select"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = {**queries_opportunities.QUERIES, **queries_orders.QUERIES, **queries_filings.QUERIES}
+ORACLES = {**queries_opportunities.ORACLES, **queries_orders.ORACLES, **queries_filings.ORACLES}

@@ -1 +1 @@
-
+"""Sources: opportunity lines, order files, filing listings and documents."""
