@@ -51,7 +51,8 @@ def validate_lines(lines: DataFrame, catalog: DataFrame, *, tolerance: str = "0.
     order), exceptions, status clean, quarantined or unpriced, and line_total.
     The catalog (sku, price, inventory) must have one row a sku."""
     known = catalog.select(
-        F.col("sku").alias("sw_sku"), decimal(F.col("price")).alias("expected"), decimal(F.col("inventory")).alias("available")
+        F.col("sku").alias("sw_sku"), decimal(F.col("price")).alias("expected"), decimal(F.col("inventory")).alias("available"),
+        text(F.col("price")).alias("sw_price"), text(F.col("inventory")).alias("sw_stock"),
     )
     rows = lines.withColumns({"sw_key": text(F.col("sku")), "q": decimal(F.col("quantity")), "p": decimal(F.col("unit_price"))})
     rows = rows.join(known, F.col("sw_key") == F.col("sw_sku"), "left")
@@ -66,7 +67,7 @@ def validate_lines(lines: DataFrame, catalog: DataFrame, *, tolerance: str = "0.
     price = F.when(F.col("expected").isNull(), "catalog_price_missing").when(F.abs(p - F.col("expected")) > F.lit(tolerance).cast("decimal(38,6)"), "price_mismatch")
     stock = F.when(F.col("available").isNull(), "inventory_missing").when(q > F.col("available"), "insufficient_inventory")
     codes = F.when(F.col("stop").isNotNull(), F.array("stop")).otherwise(F.array_compact(F.array(price, stock)))
-    values = {"sku": sku, "price": text(F.col("unit_price")), "expected": F.col("expected"), "quantity": text(F.col("quantity")), "available": F.col("available")}
+    values = {"sku": sku, "price": text(F.col("unit_price")), "expected": F.col("sw_price"), "quantity": text(F.col("quantity")), "available": F.col("sw_stock")}
 
     def exception(code: Column) -> Column:
         message = F.lit("")
@@ -97,7 +98,7 @@ def summarise_orders(headers: DataFrame, validated: DataFrame, seen: DataFrame)
     """One row an order: status, normalised header fields, exception codes in order,
     exact totals (numbers and texts) and the lines of either kind. ``seen`` holds
     processed order numbers in its first column."""
-    line = F.struct("line_index", "sku", F.col("quantity").cast("string").alias("quantity"), F.col("unit_price").cast("string").alias("unit_price"), "line_total", "codes")
+    line = F.struct("line_index", "sku", F.col("quantity").cast("string").alias("quantity"), F.col("unit_price").cast("string").alias("unit_price"), "line_total", "codes", F.when(F.col("line_total").isNotNull(), _total_text(F.col("line_total"), F.col("scale"))).alias("line_total_text"))
     clean, quarantined = F.col("status") == "clean", F.col("status") == "quarantined"
     sums = validated.groupBy("order_id").agg(
         F.count("*").alias("n_lines"),

@@ -1 +1 @@
-
+"""Streaming forms of the filing scan."""
