@@ -39,7 +39,8 @@ def start(spark: SparkSession, listing_dir: str, schema, state_dir: str, checkpo
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(listing_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch.sparkSession, batch, state, batch_id, lookback_days)
+        if not batch.isEmpty():  # a batch that only moves the watermark changes no state
+            process_batch(batch.sparkSession, batch, state, batch_id, lookback_days)
 
     writer = deduplicated(stream, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
