@@ -13,6 +13,7 @@ import sys
 from datetime import datetime
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,13 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--catalog", required=True)
     v.add_argument("--seen-pos")
     f = sub.add_parser("filings", help="scan a filing listing")
-    f.add_argument("--listing", required=True, help="folder of listing rows as parquet or JSON lines")
+    source = f.add_mutually_exclusive_group(required=True)
+    source.add_argument("--listing", help="folder of listing rows as parquet or JSON lines")
+    source.add_argument("--transport", help="dotted name of a transport function of the paged service")
+    f.add_argument("--start", default=filings.default_dates()[0], help="yyyymmdd")
+    f.add_argument("--end", default=filings.default_dates()[1], help="yyyymmdd")
+    f.add_argument("--corp-classes", default="Y,K")
+    f.add_argument("--public-types", default="B,C,E,I")
     f.add_argument("--archives", help="folder of <receipt>.zip documents")
     f.add_argument("--state", help="state folder; none: stateless")
     f.add_argument("--output-dir", required=True)
@@ -86,8 +93,12 @@ def run_orders(spark: SparkSession, args) -> int:
 
 def run_filings(spark: SparkSession, args) -> int:
     try:
-        reader = spark.read.json if args.listing.endswith((".json", ".jsonl")) else spark.read.parquet
-        rows = gates.with_receipt(filings.from_listing(reader(args.listing)))
+        if args.transport:
+            rows = filings.listing(spark, start=args.start, end=args.end, corp_classes=args.corp_classes, public_types=args.public_types, transport=args.transport)
+            rows = select.stored(rows)  # the service is asked once
+        else:
+            reader = spark.read.json if args.listing.endswith((".json", ".jsonl")) else spark.read.parquet
+            rows = gates.with_receipt(filings.from_listing(reader(args.listing)))
         archives = None
         if args.archives:
             files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(args.archives)
@@ -98,7 +109,7 @@ def run_filings(spark: SparkSession, args) -> int:
             include_seen=args.include_seen, lookback_days=args.cluster_lookback_days,
         )
         scored = select.stored(found.candidates)
-    except (OSError, ValueError) as e:
+    except (OSError, ValueError, PySparkException, filings.FilingError) as e:
         print(f"scan failed: {e}", file=sys.stderr)
         return 2
     now = datetime.now()

@@ -9,10 +9,14 @@ answer, so tests and offline runs need no network.
 from __future__ import annotations
 
 import importlib
+import io
 import time
+import zipfile
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from typing import Any
+from xml.etree import ElementTree
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +91,35 @@ def list_rows(payload: dict) -> list[dict]:
     return [r for r in rows if isinstance(r, dict)]
 
 
+def fetch_structured(transport: Callable[[str, dict], Any], kind: str, corp_code: str, start: str, end: str, **options) -> list[dict]:
+    """Structured rows of one company within dates, straight from the service."""
+    if kind not in STRUCTURED:
+        raise FilingError(f"unknown structured kind: {kind}")
+    params = {"corp_code": str(corp_code), "bgn_de": str(start), "end_de": str(end)}
+    return list_rows(fetch(transport, STRUCTURED[kind], params, **options))
+
+
+def archive_content(content: bytes | None) -> bytes:
+    """A document answer that is a ZIP archive; otherwise the service's error."""
+    content = content or b""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        return content
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        root = None
+    status = (root.findtext("status") or "").strip() if root is not None else ""
+    if status:
+        raise FilingError(f"document status {status}: {(root.findtext('message') or '').strip()}", retryable=status in RETRYABLE)
+    raise FilingError("the document is not a ZIP archive", retryable=True)
+
+
+def default_dates(now: datetime | None = None) -> tuple[str, str]:
+    """Yesterday and today in Seoul."""
+    today = (now or datetime.now(ZoneInfo("Asia/Seoul"))).date()
+    return f"{today - timedelta(days=1):%Y%m%d}", f"{today:%Y%m%d}"
+
+
 class Span(InputPartition):
     def __init__(self, order: int, start: str, end: str, corp_cls: str, kind: str):
         self.order, self.start, self.end, self.corp_cls, self.kind = order, start, end, corp_cls, kind

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.__main__ import main
 from sievewright.operators import cluster, facts, reports, risk, taxonomy
 from sievewright.operators.state import StateTable
 from sievewright.plans import filings as plan
@@ -60,6 +61,27 @@ def test_fetch_retries_and_statuses():
         filings.list_rows({"list": "x"})
 
 
+def test_direct_answers():
+    ok = lambda endpoint, params: (200, {"status": "000", "list": [{"a": 1}, "x"]})
+    assert filings.fetch_structured(ok, "cb", "1", "20240101", "20240102") == [{"a": 1}]
+    with pytest.raises(filings.FilingError, match="unknown"):
+        filings.fetch_structured(ok, "zz", "1", "20240101", "20240102")
+    assert filings.archive_content(archive(a_txt="x"))[:2] == b"PK"
+    with pytest.raises(filings.FilingError, match="020: busy") as e:
+        filings.archive_content(b"<r><status>020</status><message>busy</message></r>")
+    assert e.value.retryable
+    with pytest.raises(filings.FilingError, match="ZIP"):
+        filings.archive_content(b"text")
+
+
+def test_command_line(spark, tmp_path):
+    args = ["filings", "--transport", "tests.test_filings.transport", "--start", "20240101", "--end", "20240105", "--output-dir", str(tmp_path / "out"), "--min-band", "low"]
+    assert main([*args, "--state", str(tmp_path / "state")]) == 0
+    report = next((tmp_path / "out").glob("*_report.md")).read_text(encoding="utf-8")
+    assert "조회 공시: 2건" in report and "신규 후보가 없습니다" in report
+    assert main([*args[:4], "20250101", *args[5:]]) == 2
+
+
 def archive(**files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
