@@ -2,8 +2,8 @@
 Parquet and read again as the next one's input.
 
 1. language_id: labels every text, learning from the rows that aren't held out;
-   texts without a letter and texts in which no language holds half of the letters
-   go. The lang column becomes the label.
+   texts without a letter and texts in which no language holds three tenths of the
+   letters go (one in two languages stays). The lang column becomes the label.
 2. near_dedup: sets of five-word shingles, similarity 0.8; of each component the
    smallest id stays. Texts without words have no duplicates and stay.
 3. decontaminate: documents of which a twentieth or more of the words lies in
@@ -31,7 +31,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit_languages(docs.where(~held_out(F.col("doc_id"))))
     labelled = language.label_languages(docs, model, extra=("text", "source", "n_chars"))
-    kept = labelled.where("lang_pred <> 'und' AND score >= 0.5")
+    kept = labelled.where("lang_pred <> 'und' AND score >= 0.3")
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
