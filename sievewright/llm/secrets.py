@@ -108,7 +108,8 @@ def scan_versions(
     fresh, _ = written(scanned.withColumn("rule_version", F.lit(rule_version)), "ledger")
     fresh = fresh.dropDuplicates(["blob"])
     all_known = fresh.select("blob", "spans") if known is None else fresh.select("blob", "spans").unionByName(known)
-    hits = all_known.where(F.size("spans") > 0)
+    # Written, so that the join below reads two plain exchanges and AQE can split a hot blob.
+    hits, _ = written(all_known.where(F.size("spans") > 0), "hits")
     none = F.array().cast(_SPANS)
     findings = keyed.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", none))
     return findings.select("doc_id", "blob", "spans"), fresh.select("blob", "rule_version", "spans")
