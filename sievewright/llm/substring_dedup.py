@@ -258,7 +258,8 @@ def dedup_substrings(documents: DataFrame, *, width: int = 50, bits: int = 48, s
     )
     # Whole copies. The hash of the joined words is the content's; a hot group is one partial aggregate.
     firsts = profile.where(f"doc_id IS NOT NULL AND n_words >= {width}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select("sha", "first")
+    # Written, so that the join reads two plain exchanges and AQE can split a hot text.
+    firsts, _ = written(firsts.where("n > 1").select("sha", "first"), "firsts")
     settled, _ = written(profile.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first"), "settled")
     live = settled.where(f"NOT copy AND doc_id IS NOT NULL AND n_words >= {width}")
     sketch = live.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
