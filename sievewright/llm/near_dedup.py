@@ -157,7 +157,8 @@ def near_duplicates(
     found, left = [], branches
     for i in range(levels):
         # Nodes of one class are done; large ones branch on.
-        sizes = left.groupBy(f"k{i}").agg(F.count("*").alias("size")).where("size > 1")
+        # Their sizes are written, so that the join reads two plain exchanges and AQE can split a hot node.
+        sizes, _ = written(left.groupBy(f"k{i}").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{i}")
         left, _ = written(left.join(sizes, f"k{i}"), f"level{i}")
         last = i == levels - 1
         found.append(left.where("true" if last else f"size <= {small}").select("class_id", "tree", F.col(f"k{i}").alias("node"), "size"))
@@ -175,7 +176,7 @@ def near_duplicates(
         return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long")
 
     mixed = F.xxhash64("class_id", "tree")
-    pivots = nodes.groupBy("node").agg(F.min("class_id").alias("p1"), F.min(F.struct(mixed.alias("h"), F.col("class_id").alias("c")))["c"].alias("p2"))
+    pivots, _ = written(nodes.groupBy("node").agg(F.min("class_id").alias("p1"), F.min(F.struct(mixed.alias("h"), F.col("class_id").alias("c")))["c"].alias("p2")), "pivots")
     met = nodes.select("node", "class_id").join(pivots, "node")
     pairs = met.select("class_id", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).where("class_id <> p")
     pairs = pairs.select(F.least("class_id", "p").alias("a"), F.greatest("class_id", "p").alias("b")).distinct()
