@@ -18,7 +18,10 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ord1_line_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select("order_id", "line_index", "status", F.array_join("codes", ",").alias("codes"), "line_total")
+    """Amounts are decimals in the operator; here they are doubles, as every client reads those alike."""
+    return _lines(spark, sf).select(
+        "order_id", F.col("line_index").cast("long").alias("line_index"), "status", F.array_join("codes", ",").alias("codes"), F.col("line_total").cast("double").alias("line_total")
+    )
 
 
 def ord1_order_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +32,7 @@ def ord1_order_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg3_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).select("order_id", "order_total", "quarantined_total")
+    return _orders(spark, sf).select("order_id", F.col("order_total").cast("double").alias("order_total"), F.col("quarantined_total").cast("double").alias("quarantined_total"))
 
 
 def agg4_collected(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,9 +74,9 @@ od AS (SELECT h.order_id, purchase_order_number AS po, h.customer_id AS cu, uppe
   FROM order_headers_v h LEFT JOIN sm ON h.order_id = sm.order_id LEFT JOIN seen_po_v s ON h.purchase_order_number = s.po)"""
 _NX = "(CASE WHEN oc = '' THEN 0 ELSE len(string_split(oc, ',')) END + coalesce(nx, 0))"
 ORACLES = {
-    "ord1_line_status": _LINE + " SELECT order_id, line_index, status, codes, line_total FROM st",
+    "ord1_line_status": _LINE + " SELECT order_id, line_index, status, codes, CAST(line_total AS DOUBLE) AS line_total FROM st",
     "ord1_order_summary": _LINE + f" SELECT order_id, CASE WHEN {_NX} = 0 THEN 'ready_for_draft' ELSE 'needs_review' END AS status, nullif(po, '') AS purchase_order_number, nullif(cu, '') AS customer_id, nullif(cur, '') AS currency, CAST({_NX} AS INTEGER) AS n_exceptions, oc AS order_codes FROM od",
-    "agg3_totals": _LINE + " SELECT order_id, CAST(coalesce(t, 0) AS DECIMAL(38,6)) AS order_total, CAST(coalesce(qt, 0) AS DECIMAL(38,6)) AS quarantined_total FROM od",
+    "agg3_totals": _LINE + " SELECT order_id, CAST(coalesce(t, 0) AS DOUBLE) AS order_total, CAST(coalesce(qt, 0) AS DOUBLE) AS quarantined_total FROM od",
     "agg4_collected": _LINE + " SELECT order_id, concat_ws(',', nullif(oc, ''), xs) AS exceptions, coalesce(cl, '') AS clean_lines, coalesce(ql, '') AS quarantined_lines FROM od",
     "jn5_catalog_lookup": _LINE + " SELECT order_id, line_index, sku FROM st WHERE codes = 'unknown_sku'",
     "jn6_duplicate_po": _LINE + " SELECT order_id, po AS purchase_order_number FROM od WHERE oc LIKE '%duplicate_po%'",
