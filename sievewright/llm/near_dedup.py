@@ -13,9 +13,11 @@ expanded into all of its pairs:
 1. In each node every class is compared with the node's smallest id and with the
    smallest under a hash of that tree (as many pairs as classes, twice at most).
 2. The links found form components. Small nodes are then compared exhaustively,
-   leaving out pairs that are already connected; in nodes still large at the last
-   level every class meets a fresh pivot of each other large component. This is
-   repeated until a round finds nothing new.
+   leaving out pairs that are already connected. In nodes still large at the last
+   level most classes are connected by now; if at most ``small`` lie outside of the
+   node's greatest component, each of them meets the whole node. In nodes with more
+   of them all classes meet two fresh pivots. This is repeated until a round finds
+   nothing new.
 
 A pair of similarity 0.8 with no other link shares a node of two steps in one of
 16 trees with probability 1 - 0.36 ** 16 (above 0.9999999), one of four steps with
@@ -37,7 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -140,9 +142,14 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _near(n: Column, m: Column, percent: int) -> Column:
+    """Sets of sizes n and m can reach the similarity."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
 def near_duplicates(
     documents: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 16, levels: int = 3, small: int = 24,
-    rounds: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (the smallest id with an equal set),
     component_id (the smallest id reachable over links) and kept."""
@@ -152,8 +159,8 @@ def near_duplicates(
     classes = usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "nodes")).alias("m"))
     classes, _ = written(classes.select("s1", "s2", "n", F.col("m.doc_id").alias("class_id"), F.col("m.nodes").alias("nodes")), "classes")
 
-    branches = classes.select("class_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("nodes", t * levels + 1, levels))).alias("tree", "path"))
-    branches = branches.select("class_id", "tree", *(F.col("path")[i].alias(f"k{i}") for i in range(levels)))
+    branches = classes.select("class_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("nodes", t * levels + 1, levels))).alias("tree", "path"))
+    branches = branches.select("class_id", "n", "tree", *(F.col("path")[i].alias(f"k{i}") for i in range(levels)))
     found, left = [], branches
     for i in range(levels):
         # Nodes of one class are done; large ones branch on.
@@ -161,7 +168,7 @@ def near_duplicates(
         sizes, _ = written(left.groupBy(f"k{i}").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{i}")
         left, _ = written(left.join(sizes, f"k{i}"), f"level{i}")
         last = i == levels - 1
-        found.append(left.where("true" if last else f"size <= {small}").select("class_id", "tree", F.col(f"k{i}").alias("node"), "size"))
+        found.append(left.where("true" if last else f"size <= {small}").select("class_id", "n", "tree", F.col(f"k{i}").alias("node"), "size"))
         left = left.where(f"size > {small}").drop("size")
     nodes = found[0]
     for f in found[1:]:
@@ -183,25 +190,35 @@ def near_duplicates(
     pairs, _ = written(pairs, "pairs")
     links, _ = written(confirmed(pairs), "links")
     tried, all_links = pairs, links
-    for r in range(rounds):
+    depth = 0
+    while True:
         comps = connected_components(all_links)
         labelled = nodes.join(comps.withColumnRenamed("v", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
         open_nodes = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        labelled, _ = written(labelled.join(open_nodes, "node"), f"open{r}")
+        labelled, _ = written(labelled.join(open_nodes, "node"), f"open{depth}")
         # Small nodes: bounded lists, all pairs of different components.
-        lists = labelled.where(f"size <= {small}").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("class_id", "comp"))).alias("m"))
-        sides = lists.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["class_id"] > x["class_id"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["class_id"].alias("a"), y["class_id"].alias("b")))))).alias("p")).select("p.a", "p.b")
-        # Large nodes at the last level: a fresh pivot of the least component and one of the greatest.
+        lists = labelled.where(f"size <= {small}").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("class_id", "comp", "n"))).alias("m"))
+        sides = lists.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["class_id"] > x["class_id"]) & (y["comp"] != x["comp"]) & _near(x["n"], y["n"], percent)), lambda y: F.struct(x["class_id"].alias("a"), y["class_id"].alias("b")))))).alias("p")).select("p.a", "p.b")
+        # Large nodes: how many classes lie outside of the node's greatest component?
         large = labelled.where(f"size > {small}")
-        order = F.struct(F.xxhash64("class_id", "tree", F.lit(r)).alias("h"), F.col("class_id").alias("c"), F.col("comp").alias("o"))
-        ends = large.groupBy("node").agg(F.min(order).alias("x"), F.max(order).alias("y"))
-        fresh = large.join(ends, "node").select("class_id", "comp", F.explode(F.array("x", "y")).alias("p")).where("comp <> p.o")
+        mains = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+        mains, _ = written(mains.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others")), f"mains{depth}")
+        # Few: each of them meets the whole node, at most ``small`` pairs for a class.
+        odd = large.join(mains.where(f"others <= {small}").select("node", "main"), "node").where("comp <> main")
+        odd, _ = written(odd.select("node", F.struct(F.col("class_id").alias("c"), F.col("comp").alias("o"), "n").alias("p")), f"odd{depth}")
+        # Many: every class meets two fresh pivots.
+        crowded = mains.where(f"others > {small}").select("node")
+        order = F.struct(F.xxhash64("class_id", "tree", F.lit(depth)).alias("h"), F.col("class_id").alias("c"), F.col("comp").alias("o"), "n")
+        ends = large.join(crowded, "node").groupBy("node").agg(F.min(order).alias("x"), F.max(order).alias("y"))
+        ends = ends.select("node", F.explode(F.array("x", "y")).alias("p")).select("node", F.struct("p.c", "p.o", "p.n").alias("p"))
+        fresh = large.join(odd.unionByName(ends), "node").where((F.col("comp") != F.col("p.o")) & _near(F.col("n"), F.col("p.n"), percent))
         fresh = fresh.select(F.least("class_id", "p.c").alias("a"), F.greatest("class_id", "p.c").alias("b"))
-        more, _ = written(sides.unionByName(fresh).distinct().join(tried, ["a", "b"], "left_anti"), f"more{r}")
-        new, _ = written(confirmed(more), f"new{r}")
+        more, _ = written(sides.unionByName(fresh).distinct().join(tried, ["a", "b"], "left_anti"), f"more{depth}")
+        new, _ = written(confirmed(more), f"new{depth}")
         if new.isEmpty():
             break
         all_links, tried = all_links.unionByName(new), tried.unionByName(more)
+        depth += 1
     comps = connected_components(all_links)
 
     final = classes.select("s1", "s2", "n", "class_id").join(comps.withColumnRenamed("v", "class_id"), "class_id", "left")
