@@ -7,8 +7,8 @@ tokens, each the minimum of the set under a fresh hash function, so two sets of
 similarity J stay together with probability J a step. Nodes stop branching once
 they hold at most ``small`` classes; a tree has at most ``2 * levels`` steps.
 
-Links are confirmed on full sets, in two rounds, so that no group is ever
-expanded into all of its pairs:
+Links are confirmed on full sets, in two rounds, so that no pair that is connected
+already is compared again:
 
 1. In each node every class is compared with the node's smallest id and with the
    smallest under a hash of that tree (as many pairs as classes, twice at most).
@@ -17,7 +17,10 @@ expanded into all of its pairs:
    level most classes are connected by now; if at most ``small`` lie outside of the
    node's greatest component, each of them meets the whole node. In nodes with more
    of them all classes meet two fresh pivots. This is repeated until a round finds
-   nothing new.
+   nothing new. In nodes that are crowded even then, as where many texts share one
+   long passage, the classes outside meet the whole node at last, block by block, so
+   that a text moves once for every ``block`` classes it meets. The pairs of such a
+   node grow with its classes times those outside; none is left out.
 
 A pair of similarity 0.8 with no other link shares a node of two steps in one of
 16 trees with probability 1 - 0.36 ** 16 (above 0.9999999), one of four steps with
@@ -142,6 +145,54 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _confirm_block(k: int, percent: int):
+    """Links of the left classes of a block (``side`` <= 0) with its right ones (>= 0):
+    a spanning forest of them, as only their components count."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, comps, side = (block[c].to_numpy() for c in ("class_id", "comp", "side"))
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sets = [shingle_set(t.as_py(), k) for t in block["text"]]
+            n = np.array([len(s) for s in sets], np.int64)
+            both = _common(sets, left, right)
+            union = n[left][:, None] + n[right][None, :] - both
+            found = (100 * both >= percent * union) & (both > 0) & (comps[left][:, None] != comps[right][None, :])
+            root = {int(c): int(c) for c in comps}
+            for i, j in zip(*np.nonzero(found), strict=True):
+                a, b = int(left[i]), int(right[j])
+                x, y = int(comps[a]), int(comps[b])
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x != y:
+                    root[x] = y
+                    out.append((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of tokens that left and right sets have in common, a slice of tokens at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[token] > 1
+    owner, token = owner[shared], (np.cumsum(count > 1) - 1)[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    width = 2048
+    for lo in range(0, int((count > 1).sum()), width):
+        s, e = np.searchsorted(token, [lo, lo + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[s:e], token[s:e] - lo] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    return both
+
+
 def _near(n: Column, m: Column, percent: int) -> Column:
     """Sets of sizes n and m can reach the similarity."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -149,7 +200,7 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 
 def near_duplicates(
     documents: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 16, levels: int = 3, small: int = 24,
-    id_col: str = "doc_id", text_col: str = "text",
+    block: int = 256, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (the smallest id with an equal set),
     component_id (the smallest id reachable over links) and kept."""
@@ -219,6 +270,24 @@ def near_duplicates(
             break
         all_links, tried = all_links.unionByName(new), tried.unionByName(more)
         depth += 1
+    crowded = mains.where(f"others > {small}")
+    if not crowded.isEmpty():
+        # These have met pivots only: blocks of the classes outside meet each other and the blocks of the main component.
+        count = large.groupBy("node").agg(F.count("*").alias("all"))
+        shape = crowded.join(count, "node").select("node", "main", F.ceil(F.col("others") / block).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("others")) / block).cast("int").alias("mb"))
+        spread = large.join(shape, "node").withColumn("out", F.col("comp") != F.col("main"))
+        spread = spread.withColumn("i", F.pmod(mixed, F.when(F.col("out"), F.col("ob")).otherwise(F.col("mb"))).cast("int"))
+        outs, mains_of = F.sequence(F.lit(0), F.col("ob") - 1), F.sequence(F.lit(0), F.col("mb") - 1)
+        key = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+        among = F.transform(outs, lambda j: key(0, F.least("i", j), F.greatest("i", j), F.signum(F.col("i") - j) * -1))
+        across = F.transform(mains_of, lambda j: key(1, F.col("i"), j, F.lit(-1)))
+        inward = F.transform(outs, lambda j: key(1, j, F.col("i"), F.lit(1)))
+        keys = F.when(F.col("out"), F.concat(among, across)).otherwise(inward)
+        spread, _ = written(spread.select("node", "class_id", "comp", keys.alias("keys")), "spread")
+        cells = spread.join(texts.withColumnRenamed("id", "class_id"), "class_id").select("node", "class_id", "comp", "text", F.explode("keys").alias("key"))
+        cells = cells.select("node", "class_id", "comp", "text", "key.*")
+        last, _ = written(cells.groupBy("node", "kind", "x", "y").applyInArrow(_confirm_block(k, percent), "a long, b long").distinct(), "crowded")
+        all_links = all_links.unionByName(last)
     comps = connected_components(all_links)
 
     final = classes.select("s1", "s2", "n", "class_id").join(comps.withColumnRenamed("v", "class_id"), "class_id", "left")

@@ -301,6 +301,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def passage_family(rng, k, size, planted):
+    """Texts that share a passage (similarity 0.75 to 0.79) and, for each of ``planted``, a pair that also shares the start of its tails."""
+    passage = [f"p{rng.randrange(10**9)}" for _ in range(350 + k)]
+    tails = [[f"t{rng.randrange(10**9)}" for _ in range(rng.randrange(48, 57))] for _ in range(size)]
+    for i, similarity in enumerate(planted):
+        own, other = tails[2 * i], tails[2 * i + 1]
+        del own[48:], other[48:]
+        shared = int(-(-similarity * 2 * (351 + 48) // (1 + similarity))) - 351
+        other[:shared] = own[:shared]
+    order = rng.sample(range(size), size)
+    return [(i, " ".join(passage + tails[t])) for i, t in enumerate(order)]
+
+
+def test_pairs_in_a_family_that_shares_a_passage(spark):
+    texts = passage_family(random.Random(9), 4, 600, [0.81, 0.84, 0.9] * 20)
+    want = brute_components(texts, 4, 80)
+    assert len(set(want.values())) == 540
+    got = near_dedup.near_duplicates(frame(spark, texts), k=4, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(60)] + [(7, 7)]
     got = {r.v: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
