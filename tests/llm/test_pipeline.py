@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from sievewright.llm.byte_bpe import TreeEncoder
-from tests.llm.test_operators import brute_components, brute_contamination, brute_secrets
+from tests.llm.test_operators import brute_components, brute_contamination, brute_secrets, passage_family
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,6 +45,12 @@ def test_near_dedup_stage_keeps_one_of_each_group(stages):
     assert ids(stages["near_dedup"]) - {None} == set(comp.values())
 
 
+def test_near_dedup_stage_on_a_family_that_shares_a_passage(spark):
+    texts = passage_family(random.Random(11), 5, 600, [0.81, 0.84, 0.9] * 20)
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    assert ids(corpus_pipeline.near_duplicates(spark, rows, SF).collect()) == set(brute_components(texts, 5, 80).values())
+
+
 def test_decontamination_stage(stages):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     want = brute_contamination([(r.doc_id, r.text) for r in stages["near_dedup"]], items, 13)
