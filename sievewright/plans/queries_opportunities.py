@@ -85,7 +85,7 @@ def top3_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top4_pareto_layers(spark: SparkSession, sf: str) -> DataFrame:
-    return select.pareto_layers(_scored(spark, sf), max_layers=3).select("candidate_id", "layer")
+    return select.pareto_layers(_scored(spark, sf)).select("candidate_id", "layer")
 
 
 def top5_pareto_select(spark: SparkSession, sf: str) -> DataFrame:

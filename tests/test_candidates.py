@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.__main__ import opportunity_pipeline
 from sievewright.operators import axes, gates, reports, select
+from sievewright.plans import queries_opportunities
 from sievewright.plans.candidates import CandidatePipeline, FrameSource, Selector
 from sievewright.sources.opportunities import read_opportunities
 
@@ -77,6 +78,19 @@ def test_pareto_layers_and_ties(spark):
         select.pareto_layers(rows, ())
 
 
+def test_registered_pareto_query_peels_every_layer(spark):
+    sf = "/root/testdata/sf0.001"
+    rest = {r[0]: tuple(x or 0.0 for x in r[1:]) for r in queries_opportunities._scored(spark, sf).select("candidate_id", *select.PARETO_AXES).collect()}
+    want, layer = {}, 0
+    while rest:
+        layer += 1
+        front = [i for i, p in rest.items() if not any(q != p and all(x >= y for x, y in zip(q, p, strict=True)) for q in rest.values())]
+        want.update({i: layer for i in front})
+        rest = {i: p for i, p in rest.items() if i not in want}
+    assert layer > 3
+    assert {r.candidate_id: r.layer for r in queries_opportunities.top4_pareto_layers(spark, sf).collect()} == want
+
+
 def test_later_scorer_wins(spark):
     rows = spark.range(1).select(*(F.lit(1.0).alias(c) for c in ("a",)))
     assert axes.score(rows, {"s": F.lit(1)}, {"s": F.lit(2)}).first().s == 2.0
