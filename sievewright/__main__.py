@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--state", help="state folder; none: stateless")
     f.add_argument("--output-dir", required=True)
     f.add_argument("--min-band", choices=list(gates.S.BAND_RANK), default="watch")
+    f.add_argument("--report-limit", type=int, help="candidates that the report lists; none: all")
     f.add_argument("--include-seen", action="store_true")
     f.add_argument("--no-persist", action="store_true")
     f.add_argument("--cluster-lookback-days", type=int, default=30)
@@ -120,7 +121,7 @@ def run_filings(spark: SparkSession, args) -> int:
     out, run_id = Path(args.output_dir), f"{now:%Y%m%d_%H%M%S}"
     out.mkdir(parents=True, exist_ok=True)
     reports.write_jsonl(kept, str(out / f"{run_id}_candidates.jsonl"))
-    (out / f"{run_id}_report.md").write_text(reports.filing_report(kept, counters, now.isoformat(timespec="seconds")), encoding="utf-8")
+    (out / f"{run_id}_report.md").write_text(reports.filing_report(kept, counters, now.isoformat(timespec="seconds"), args.report_limit), encoding="utf-8")
     return 0
 
 

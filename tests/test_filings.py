@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.__main__ import main
+from sievewright.__main__ import main, parser
 from sievewright.operators import cluster, facts, reports, risk, taxonomy
 from sievewright.operators.state import StateTable
 from sievewright.plans import filings as plan
@@ -119,6 +119,18 @@ def test_structured_facts(spark):
     assert e.dilution_ratio_pct == 25.0
 
 
+def test_report_lists_and_counts_all_candidates(spark):
+    found = plan.scan(listing(spark, {"rcept_no": "2", "rcept_dt": "20240110", "report_nm": ACQ}))
+    many = found.candidates.crossJoin(spark.range(1001).select()).cache()
+    counters = found.counters.first().asDict()
+    whole = reports.filing_report(many, counters, "now")
+    assert "리포트 후보: 1001건" in whole and whole.count("|Corp(000001)|") == 1001 and "표시하지 않은" not in whole
+    short = reports.filing_report(many, counters, "now", 2)
+    assert "리포트 후보: 1001건" in short and "표시하지 않은 후보: 999건" in short and short.count("|Corp(000001)|") == 2
+    args = parser().parse_args(["filings", "--listing", "x", "--output-dir", "y", "--report-limit", "5"])
+    assert args.report_limit == 5
+
+
 def test_leveraged_acquisition_scores(spark):
     """A financing filing ten days before an acquisition: attention at its cap, risk 75."""
     rows = listing(spark, {"rcept_no": "2", "rcept_dt": "20240110", "report_nm": ACQ}, {"rcept_no": "1", "rcept_dt": "20240101", "report_nm": CB}, {"rcept_no": "3", "rcept_dt": "20240301", "report_nm": PIVOT})
