@@ -47,10 +47,15 @@ ACQUISITION_ROWS = "타법인주식및출자증권"
 
 def rule_index(compact_name: Column) -> Column:
     """The first matching rule's index; the number of rules if none matches. The rules
-    are one folded literal: as 46 separate tests they would outgrow a generated method."""
+    are one folded literal: as 46 separate tests they would outgrow a generated method.
+    The name is bound first, so that its making isn't repeated for every token."""
     rules = F.array(*(F.array(*map(F.lit, r.tokens)) for r in RULES))
-    hits = F.transform(rules, lambda tokens: F.exists(tokens, lambda t: compact_name.contains(t)))
-    return F.coalesce(F.nullif(F.array_position(hits, True), F.lit(0)) - 1, F.lit(len(RULES))).cast("int")
+
+    def index(name: Column) -> Column:
+        hits = F.transform(rules, lambda tokens: F.exists(tokens, lambda t: name.contains(t)))
+        return F.coalesce(F.nullif(F.array_position(hits, True), F.lit(0)) - 1, F.lit(len(RULES))).cast("int")
+
+    return F.transform(F.array(compact_name), index)[0]
 
 
 def classify(filings: DataFrame, name: str = "report_nm") -> DataFrame:
