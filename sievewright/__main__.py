@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     o = sub.add_parser("opportunities", help="rank opportunity records")
     o.add_argument("--input", required=True)
     o.add_argument("--output")
+    o.add_argument("--title", default="Opportunities", help="the report's heading")
     o.add_argument("--limit", type=int, default=3)
     o.add_argument("--min-signals", type=int, default=2)
     o.add_argument("--max-cash", type=float, default=500.0)
@@ -71,7 +72,7 @@ def opportunity_pipeline(path: str, min_signals: int = 2, max_cash: float = 500.
 
 def run_opportunities(spark: SparkSession, args) -> int:
     pipeline = opportunity_pipeline(args.input, args.min_signals, args.max_cash, args.max_hours)
-    report = reports.opportunity_report(pipeline.run(spark, gates.Query(limit=args.limit)))
+    report = reports.opportunity_report(pipeline.run(spark, gates.Query(limit=args.limit)), args.title)
     if args.output:
         Path(args.output).parent.mkdir(parents=True, exist_ok=True)
         Path(args.output).write_text(report, encoding="utf-8")

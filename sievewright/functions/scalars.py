@@ -97,6 +97,11 @@ def compact_cell(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\sㆍ·・\-_/()]", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, half to even on the exact binary value, without grouping."""
+    return F.replace(F.format_number(x.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def strip_prefixes(x: Column) -> Column:
     return strip(F.regexp_replace(text(x), "(?U)" + PREFIX_PATTERN, ""))
 

@@ -82,7 +82,7 @@ def score_filings(rows: DataFrame) -> DataFrame:
     rows = with_facts(rows) if "confirmed_pivot" not in rows.columns else rows
     category = F.col("category")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    one = lambda x: F.format_string("%.1f", x)
+    one = lambda x: S.fixed(x, 1)
     acq, fin = category == "acquisition_control", category == "financing_dilution"
     pivot, execution, governance = category == "portfolio_pivot", category == "execution_validation", category == "governance_change"
     met = lambda name: F.exists("related", lambda e: e["category"] == name)
