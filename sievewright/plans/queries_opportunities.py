@@ -93,7 +93,7 @@ def top5_pareto_select(spark: SparkSession, sf: str) -> DataFrame:
     return select.pareto_select(_scored(spark, sf), QUERY.limit).select("candidate_id", "layer", "rank", "title")
 
 
-def pipe1_research(spark: SparkSession, sf: str) -> DataFrame:
+def pipe1_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The whole candidate pipeline with a failing second source."""
 
     def broken(s, q):
@@ -137,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src2_jsonl, flt1_drop_stage, prj1_hydrate, prj2_scorer_override, prj4_axes, top1_topk, top2_mmr, top3_cosine, top4_pareto_layers,
-        top5_pareto_select, pipe1_research, agg12_stage_metrics, agg1_first_wins_dedup, agg2_last_wins, agg8_minmax,
+        top5_pareto_select, pipe1_candidates, agg12_stage_metrics, agg1_first_wins_dedup, agg2_last_wins, agg8_minmax,
     )
 } | {"flt3_permission_gate": _one_gate(GATES[0]), "flt4_evidence_gate": _one_gate(GATES[1]), "flt5_budget_gate": _one_gate(GATES[2])}
 
@@ -202,9 +202,9 @@ ORACLES = {
     "top1_topk": f"{_V} SELECT candidate_id, CAST(row_number() OVER (ORDER BY CASE WHEN candidate_id % 13 <> 0 THEN candidate_id % 97 END DESC NULLS LAST, candidate_id) AS INTEGER) AS rank FROM opportunities_v QUALIFY rank <= 25",
     "top2_mmr": _mmr_sql(5, 0.4),
     "top3_cosine": f"SELECT e.vec_id, round({_COS_AB}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q",
-    "top4_pareto_layers": _SCORED + _peel(3) + " SELECT candidate_id, 1 AS layer FROM l1 UNION ALL SELECT candidate_id, 2 FROM l2 UNION ALL SELECT candidate_id, 3 FROM l3",
+    "top4_pareto_layers": _SCORED + f", rest AS (SELECT 1 AS k, * FROM scored UNION ALL SELECT s.k + 1, s.* EXCLUDE (k) FROM rest s WHERE EXISTS (SELECT 1 FROM rest o WHERE {_DOM})) SELECT candidate_id, CAST(max(k) AS INTEGER) AS layer FROM rest GROUP BY candidate_id",
     "top5_pareto_select": _SCORED + _peel(1) + f" SELECT candidate_id, 1 AS layer, CAST(row_number() OVER (ORDER BY {_BY}) AS INTEGER) AS rank, title FROM l1 QUALIFY rank <= 10",
-    "pipe1_research": _SCORED + " SELECT candidate_id, CAST(row_number() OVER (ORDER BY feasibility_floor DESC, candidate_id) AS INTEGER) AS rank, 1 AS n_warnings FROM scored QUALIFY rank <= 10",
+    "pipe1_candidates": _SCORED + " SELECT candidate_id, CAST(row_number() OVER (ORDER BY feasibility_floor DESC, candidate_id) AS INTEGER) AS rank, 1 AS n_warnings FROM scored QUALIFY rank <= 10",
     "agg12_stage_metrics": f"""{_V}, m AS (SELECT *, CASE WHEN NOT ({_G3}) THEN 0 WHEN NOT ({_G4}) THEN 1 WHEN NOT ({_G5}) THEN 2 ELSE 3 END AS d FROM opportunities_v),
 n AS (SELECT count(*) AS n, count(*) FILTER (WHERE d >= 1) AS a, count(*) FILTER (WHERE d >= 2) AS b, count(*) FILTER (WHERE d >= 3) AS c, count(*) FILTER (WHERE candidate_id % 2 = 0) AS e FROM m)
 SELECT 'source' AS stage, 'parts' AS component, 0::BIGINT AS input_count, n AS output_count, 0::BIGINT AS removed_count FROM n
