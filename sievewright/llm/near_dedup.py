@@ -1,54 +1,57 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document's set holds the hashes of its distinct word shingles. Documents with
-equal sets form a class, of which the smallest id goes on. Each of ``trees``
-independent trees branches the classes by minwise tokens: a node is a path of
-tokens, each the minimum of the set under a fresh hash function, so two sets of
-similarity J stay together with probability J a step. Nodes stop branching once
-they hold at most ``small`` classes; a tree has at most ``2 * levels`` steps.
-
-Links are confirmed on full sets, in two rounds, so that no pair that is connected
-already is compared again:
-
-1. In each node every class is compared with the node's smallest id and with the
-   smallest under a hash of that tree (as many pairs as classes, twice at most).
-2. The links found form components. Small nodes are then compared exhaustively,
-   leaving out pairs that are already connected. In nodes still large at the last
-   level most classes are connected by now; if at most ``small`` lie outside of the
-   node's greatest component, each of them meets the whole node. In nodes with more
-   of them all classes meet two fresh pivots. This is repeated until a round finds
-   nothing new. In nodes that are crowded even then, as where many texts share one
-   long passage, the classes outside meet the whole node at last, block by block, so
-   that a text moves once for every ``block`` classes it meets. The pairs of such a
-   node grow with its classes times those outside; none is left out.
-
-A pair of similarity 0.8 with no other link shares a node of two steps in one of
-16 trees with probability 1 - 0.36 ** 16 (above 0.9999999), one of four steps with
-0.9998 and one of six with 0.992 (``recall_bound``); more similar pairs more often.
-
-Sets are made anew from the texts of classes that share a node; a pair carries
-its two texts to the comparison, so a hot pivot is a skewed side of an ordinary
-join.
+A document's set holds the hashes of its distinct word shingles. Rows with equal
+sets form a class (keyed by a 128-bit signature and the size of the set), which is
+one vertex; rows that share an id join their classes. Each class has ``WIDTH`` minwise
+tokens. Independent trees branch the classes by selected ones: a node selects one
+of the tokens, or two in a quarter of the nodes, and sends a class to one child for
+each of them, so that a pair of similarity 0.8 keeps one child in common on the
+average. Nodes of a single component are done; of the others
+
+* those of at most ``small`` classes are compared exhaustively, leaving out pairs that
+  are connected already;
+* larger ones in which at most ``small`` classes lie outside of the greatest component:
+  these meet each other and the whole of that component;
+* larger ones with more outside branch on, by two tokens a level; at the last level
+  they are compared exhaustively, in blocks.
+
+Before this, each class is compared with one other: the pivot (smallest class) that
+most of its nodes have. So a large group of copies collapses into one component with
+as many pairs as it has classes, and its nodes close. Pairs are first compared by
+their minwise tokens (fewer than ``CUT`` of ``WIDTH`` in common: not similar), then
+confirmed on full sets made anew from the texts.
+
+``trees`` follows from the target recall: it is the least number for which a pair at
+the threshold without any other link shares a node of the last level, and passes the
+comparison of minwise tokens, with at least that probability (``recall_bound``). Pairs
+that end in smaller depths, or are more similar, are found more often.
 
 Defined cases: null or wordless texts have an empty set, are kept and linked with
 nothing; fewer words than ``k`` are one shingle; rows that share an id are one
 vertex, linked with what any of them is linked with; rows with a null id are
-their own, unlinked (component_id null, kept); other columns are not read; empty
-tables give an empty result.
+their own, unlinked (component_id null, kept); very long texts are one set like any
+other; other columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Minwise tokens of a class, and how many of them two classes must have in common to be compared in full.
+WIDTH, CUT = 64, 36
+#: Bytes of sets that a worker keeps.
+CACHE_BYTES = 64 << 20
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -71,74 +74,105 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def recall_bound(similarity: float, trees: int, steps: int) -> float:
-    """Probability that a pair shares a node of so many steps in one tree at least."""
-    return 1 - (1 - similarity**steps) ** trees
+_SEEDS = _mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def paths(tokens: np.ndarray, trees: int, levels: int) -> np.ndarray:
-    """Node ids [trees * levels] of a set: after 2, 4, ... chosen tokens of each tree."""
-    seeds = _mix(np.arange(1, trees * levels * 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    chosen = np.empty(len(seeds), np.uint64)
+def minwise(tokens: np.ndarray) -> np.ndarray:
+    """The minwise tokens of a set, 32 bits of each."""
+    out = None
     for lo in range(0, len(tokens), 4096):  # bounded memory for long texts
-        part = (_mix_light(tokens[None, lo : lo + 4096] ^ seeds[:, None])).min(1)
-        chosen = part if lo == 0 else np.minimum(chosen, part)
-    chosen = chosen.reshape(trees, levels, 2)
-    out, node = np.empty((trees, levels), np.uint64), _mix(np.arange(trees, dtype=np.uint64) + np.uint64(77))
-    for level in range(levels):
-        for i in range(2):
-            node = _mix(node ^ chosen[:, level, i])
-        out[:, level] = node
-    return out.reshape(-1).view(np.int64)
-
-
-def _mix_light(h: np.ndarray) -> np.ndarray:
-    """One multiplication spreads already random tokens well enough for a minimum."""
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+        # Tokens are random already: one multiplication spreads them well enough for a minimum.
+        h = (tokens[None, lo : lo + 4096] ^ _SEEDS[:, None]) * np.uint64(0xD6E8FEB86659FD93)
+        part = (h ^ (h >> np.uint64(32))).min(1)
+        out = part if out is None else np.minimum(out, part)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def survival(agreement: float, steps: int) -> float:
+    """Probability that a pair shares a node after so many steps of one tree, if a
+    selected token is the same with the given probability."""
+    extinct = 0.0
+    for _ in range(steps):
+        child = 1 - agreement + agreement * extinct
+        extinct = 0.75 * child + 0.25 * child * child
+    return 1 - extinct
+
+
+def recall_bound(similarity: float, trees: int, steps: int) -> float:
+    """Probability that a pair shares a node in one of the trees and is compared."""
+    law = ((a, comb(WIDTH, a) * similarity**a * (1 - similarity) ** (WIDTH - a)) for a in range(CUT, WIDTH + 1))
+    return sum(p * (1 - (1 - survival(a / WIDTH, steps)) ** trees) for a, p in law)
+
 
+@lru_cache
+def trees_for(recall: float, similarity: float, steps: int) -> int:
+    """The least number of trees that reaches the recall."""
+    if recall > recall_bound(similarity, 10_000, steps):
+        raise ValueError(f"no number of trees reaches a recall of {recall}")
+    return next(t for t in range(1, 10_000) if recall_bound(similarity, t, steps) >= recall)
 
-def _profile(k: int, trees: int, levels: int):
+
+def _profile(k: int):
     def run(batches):
         for batch in batches:
-            n, s1, s2, nodes = [], [], [], []
-            for text in batch["text"]:
-                tokens = shingle_set(text.as_py(), k)
-                digest = xxhash.xxh3_128_digest(tokens.tobytes())
-                a, b = np.frombuffer(digest, np.int64)
-                n.append(len(tokens))
-                s1.append(int(a))
-                s2.append(int(b))
-                nodes.append(paths(tokens, trees, levels) if len(tokens) else np.zeros(0, np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, nodes)]).astype("i4"))
-            flat = pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "n", "s1", "s2", "nodes"],
-            )
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                n, sign, mins = [], [], []
+                for text in part["text"]:
+                    tokens = shingle_set(text.as_py(), k)
+                    n.append(len(tokens))
+                    sign.append(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64))
+                    mins.append(minwise(tokens) if len(tokens) else np.zeros(0, np.int32))
+                s1, s2 = np.stack(sign).T
+                offsets = pa.array(np.cumsum([0, *map(len, mins)]).astype("i4"))
+                flat = pa.array(np.concatenate(mins), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["tx"], pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(offsets, flat)],
+                    names=["doc_id", "tx", "n", "s1", "s2", "mins"],
+                )
 
     return run
 
 
+def _child(node: Column, token: Column, mins: Column) -> Column:
+    return F.xxhash64(node, token, F.get(mins, token))
+
+
+def _branch(nodes: Column, mins: Column) -> Column:
+    """The children of an array of nodes that a class goes to: one, or two in a quarter of them."""
+
+    def children(v: Column) -> Column:
+        pick = lambda i: F.pmod(F.xxhash64(v, F.lit(i)), F.lit(WIDTH)).cast("int")
+        second = F.when(F.pmod(F.xxhash64(v, F.lit(3)), F.lit(4)) == 0, _child(v, pick(2), mins))
+        return F.array(_child(v, pick(1), mins), second)
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(nodes, children))))
+
+
 def _confirm(k: int, percent: int):
     def run(batches):
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            a_ids, b_ids = batch["a"].to_pylist(), batch["b"].to_pylist()
+            ids = {c: batch[c].to_pylist() for c in ("a", "b")}
             keep = []
-            for i, (a, b) in enumerate(zip(a_ids, b_ids, strict=True)):
-                for x, column in ((a, "ta"), (b, "tb")):
-                    if x not in sets:
-                        if len(sets) > 2000:
-                            sets.clear()
-                        sets[x] = shingle_set(batch[column][i].as_py(), k)
-                # The other may just have been cleared with the rest.
-                sa = sets[a] if a in sets else shingle_set(batch["ta"][i].as_py(), k)
-                sb = sets[b]
-                if min(len(sa), len(sb)) * 100 < percent * max(len(sa), len(sb)):
+            for i in range(batch.num_rows):
+                two = []
+                for c, text in (("a", "ta"), ("b", "tb")):
+                    x = ids[c][i]
+                    found = sets.get(x)
+                    if found is None:
+                        found = shingle_set(batch[text][i].as_py(), k)
+                        if held + found.nbytes > CACHE_BYTES:
+                            sets, held = {}, 0
+                        sets[x] = found
+                        held += found.nbytes
+                    two.append(found)
+                m, n = map(len, two)
+                if min(m, n) * 100 < percent * max(m, n):
                     continue
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                if 100 * both >= percent * (len(sa) + len(sb) - both) and both:
+                both = len(np.intersect1d(*two, assume_unique=True))
+                if both and 100 * both >= percent * (m + n - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -150,7 +184,7 @@ def _confirm_block(k: int, percent: int):
     a spanning forest of them, as only their components count."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids, comps, side = (block[c].to_numpy() for c in ("class_id", "comp", "side"))
+        ids, comps, side = (block[c].to_numpy() for c in ("cid", "comp", "side"))
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
@@ -198,101 +232,149 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+class _Join:
+    """One search: the tables that its steps share, and those to delete at its end."""
+
+    def __init__(self, rows: DataFrame, k: int, percent: int, small: int, block: int):
+        self.spark, self.rows, self.k, self.percent, self.small, self.block = rows.sparkSession, rows, k, percent, small, block
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = written(df, label)
+        self.paths.append(path)
+        return out
+
+    def classes_of(self, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the classes, links of classes that share an id)."""
+        usable = profile.where("n > 0 AND doc_id IS NOT NULL")
+        firsts = usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "tx", "mins")).alias("m"))
+        numbered = firsts.select("s1", "s2", "n", "m.*", F.monotonically_increasing_id().alias("cid"))
+        classes, _ = written(numbered, "classes")  # numbers hold once they are written
+        self.classes = classes
+        ids = self.keep(usable.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "shared")
+        self.shared_ids = ids
+        cids = usable.join(ids, "doc_id").join(classes.select("s1", "s2", "n", "cid"), ["s1", "s2", "n"]).select("doc_id", "cid")
+        ends = cids.groupBy("doc_id").agg(F.min("cid").alias("a"))
+        return classes, self.keep(cids.join(ends, "doc_id").where("a < cid").select("a", F.col("cid").alias("b")).distinct(), "idlinks")
+
+    def texts_of(self, involved: DataFrame) -> DataFrame:
+        """(cid, text) of the classes' carriers: the row with the class's smallest id."""
+        shared = self.shared_ids.select("doc_id", F.lit(True).alias("often"))
+        carriers = self.classes.select("cid", "doc_id", "tx").join(involved, "cid").join(shared, "doc_id", "left")
+        found = self.rows.join(carriers.hint("shuffle_hash"), ["doc_id", "tx"]).select("cid", "text", "often")
+        # Rows may be repeated; only ids that several rows have need a second look.
+        once = found.where("often").groupBy("cid").agg(F.min("text").alias("text"))
+        return self.keep(found.where("often IS NULL").select("cid", "text").unionByName(once), "texts")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) that are links: by minwise tokens first, then on full sets."""
+        mins = self.classes.select("cid", "mins")
+        joined = pairs.join(mins.selectExpr("cid AS a", "mins AS ma"), "a").join(mins.selectExpr("cid AS b", "mins AS mb"), "b")
+        agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        likely = self.keep(joined.where(agree >= CUT).select("a", "b"), f"likely-{label}")
+        joined = likely.join(texts.selectExpr("cid AS a", "text AS ta"), "a").join(texts.selectExpr("cid AS b", "text AS tb"), "b")
+        return self.keep(joined.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.k, self.percent), "a long, b long"), f"links-{label}")
+
+    def pivots(self, nodes: DataFrame) -> DataFrame:
+        """One pair for each class: the smallest class of most of its nodes."""
+        least = self.keep(nodes.groupBy("node").agg(F.min("cid").alias("p"), F.count("*").alias("c")).where("c > 1").select("node", "p"), "pivots")
+        met = nodes.select("node", "cid").join(least, "node").where("p < cid")
+        return self.keep(met.groupBy("cid").agg(F.mode("p", True).alias("a")).select("a", F.col("cid").alias("b")), "pairs-pivots")
+
+    def open_nodes(self, nodes: DataFrame, comps: DataFrame, label: str) -> DataFrame:
+        """(node, cid, n, comp) of the nodes with several components, with their size,
+        greatest component (main) and number of classes outside of it."""
+        labelled = nodes.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        parts = labelled.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        shape = parts.groupBy("node").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+        # Written, so that the join reads two plain exchanges and AQE can split a hot node.
+        shape = self.keep(shape.select("node", "size", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.c")).alias("others")), f"shape-{label}")
+        return self.keep(labelled.join(shape, "node"), f"open-{label}")
+
+    def exhaustive(self, rows: DataFrame) -> DataFrame:
+        """All pairs of different components of nodes that hold at most ``small`` rows here."""
+        lists = rows.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("cid", "comp", "n"))).alias("m"))
+        other = lambda x, y: (y["cid"] > x["cid"]) & (y["comp"] != x["comp"]) & _near(x["n"], y["n"], self.percent)
+        pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: other(x, y)), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
+        return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+    def blocks(self, crowded: DataFrame, few: DataFrame, comps: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+        """Links of the classes outside of the main components of ``crowded`` and ``few`` nodes with
+        these components, and of those of crowded nodes with each other. A text moves
+        once for each block of classes that it meets, not for each pair."""
+        size = F.lit(self.block)
+        slot = lambda n, *key: F.pmod(F.xxhash64(*key, F.lit(5)), n).cast("int")
+        key = lambda kind, g, x, y, side: F.struct(F.lit(kind).alias("kind"), g.alias("g"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        # Inside a crowded node: blocks of the classes outside meet each other.
+        outside = crowded.where("comp <> main").withColumn("ob", F.ceil(F.col("others") / size).cast("int"))
+        outside = outside.withColumn("i", slot(F.col("ob"), "cid", "node"))
+        among = F.transform(upto(F.col("ob")), lambda j: key(0, F.col("node"), F.least("i", j), F.greatest("i", j), F.signum(F.col("i") - j) * -1))
+        cells = outside.select("cid", "comp", F.explode(among).alias("key"))
+        # With the main components, each taken once however many nodes it fills.
+        met = crowded.unionByName(few).where("comp <> main").select("cid", "comp", F.col("main").alias("g")).distinct()
+        met = self.keep(met, f"outside-{label}")
+        # A main component of one class has no row in comps.
+        members = comps.select(F.col("v").alias("cid"), F.col("comp").alias("g"))
+        mains = met.select("g").distinct()
+        lone = mains.join(comps.select(F.col("v").alias("g")), "g", "left_anti").select(F.col("g").alias("cid"), "g")
+        members = self.keep(members.join(mains, "g", "left_semi").select("cid", "g").unionByName(lone), f"members-{label}")
+        grid = met.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("ob"))
+        grid = grid.join(members.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("mb")), "g")
+        grid = self.keep(grid, f"grid-{label}")
+        across = met.join(grid, "g").withColumn("i", slot(F.col("ob"), "cid"))
+        across = across.select("cid", "comp", F.explode(F.transform(upto(F.col("mb")), lambda j: key(1, F.col("g"), F.col("i"), j, F.lit(-1)))).alias("key"))
+        inward = members.join(grid, "g").withColumn("j", slot(F.col("mb"), "cid"))
+        inward = inward.select("cid", F.col("g").alias("comp"), F.explode(F.transform(upto(F.col("ob")), lambda i: key(1, F.col("g"), i, F.col("j"), F.lit(1)))).alias("key"))
+        cells = self.keep(cells.unionByName(across).unionByName(inward), f"cells-{label}")
+        full = cells.join(texts, "cid").select("cid", "comp", "text", "key.*")
+        return self.keep(full.groupBy("kind", "g", "x", "y").applyInArrow(_confirm_block(self.k, self.percent), "a long, b long").distinct(), f"blocks-{label}")
+
+
 def near_duplicates(
-    documents: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 16, levels: int = 3, small: int = 24,
+    documents: DataFrame, *, k: int = 5, percent: int = 80, recall: float = 0.9999, levels: int = 2, small: int = 24,
     block: int = 256, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (the smallest id with an equal set),
     component_id (the smallest id reachable over links) and kept."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile, _ = written(rows.mapInArrow(_profile(k, trees, levels), "doc_id long, n long, s1 long, s2 long, nodes array<long>"), "sets")
-    usable = profile.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "nodes")).alias("m"))
-    classes, _ = written(classes.select("s1", "s2", "n", F.col("m.doc_id").alias("class_id"), F.col("m.nodes").alias("nodes")), "classes")
-
-    branches = classes.select("class_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("nodes", t * levels + 1, levels))).alias("tree", "path"))
-    branches = branches.select("class_id", "n", "tree", *(F.col("path")[i].alias(f"k{i}") for i in range(levels)))
-    found, left = [], branches
-    for i in range(levels):
-        # Nodes of one class are done; large ones branch on.
-        # Their sizes are written, so that the join reads two plain exchanges and AQE can split a hot node.
-        sizes, _ = written(left.groupBy(f"k{i}").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{i}")
-        left, _ = written(left.join(sizes, f"k{i}"), f"level{i}")
-        last = i == levels - 1
-        found.append(left.where("true" if last else f"size <= {small}").select("class_id", "n", "tree", F.col(f"k{i}").alias("node"), "size"))
-        left = left.where(f"size > {small}").drop("size")
-    nodes = found[0]
-    for f in found[1:]:
-        nodes = nodes.unionByName(f)
-
-    involved = nodes.select("class_id").distinct()
-    texts, _ = written(rows.withColumnRenamed("doc_id", "id").join(involved.withColumnRenamed("class_id", "id").hint("shuffle_hash"), "id", "left_semi"), "texts")
-    # An id that several rows share: the text whose set is the class's cannot be told here, so every one is compared.
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(texts.selectExpr("id AS a", "text AS ta"), "a").join(texts.selectExpr("id AS b", "text AS tb"), "b")
-        return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long")
-
-    mixed = F.xxhash64("class_id", "tree")
-    pivots, _ = written(nodes.groupBy("node").agg(F.min("class_id").alias("p1"), F.min(F.struct(mixed.alias("h"), F.col("class_id").alias("c")))["c"].alias("p2")), "pivots")
-    met = nodes.select("node", "class_id").join(pivots, "node")
-    pairs = met.select("class_id", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).where("class_id <> p")
-    pairs = pairs.select(F.least("class_id", "p").alias("a"), F.greatest("class_id", "p").alias("b")).distinct()
-    pairs, _ = written(pairs, "pairs")
-    links, _ = written(confirmed(pairs), "links")
-    tried, all_links = pairs, links
-    depth = 0
-    while True:
-        comps = connected_components(all_links)
-        labelled = nodes.join(comps.withColumnRenamed("v", "class_id"), "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
-        open_nodes = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        labelled, _ = written(labelled.join(open_nodes, "node"), f"open{depth}")
-        # Small nodes: bounded lists, all pairs of different components.
-        lists = labelled.where(f"size <= {small}").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("class_id", "comp", "n"))).alias("m"))
-        sides = lists.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["class_id"] > x["class_id"]) & (y["comp"] != x["comp"]) & _near(x["n"], y["n"], percent)), lambda y: F.struct(x["class_id"].alias("a"), y["class_id"].alias("b")))))).alias("p")).select("p.a", "p.b")
-        # Large nodes: how many classes lie outside of the node's greatest component?
-        large = labelled.where(f"size > {small}")
-        mains = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-        mains, _ = written(mains.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others")), f"mains{depth}")
-        # Few: each of them meets the whole node, at most ``small`` pairs for a class.
-        odd = large.join(mains.where(f"others <= {small}").select("node", "main"), "node").where("comp <> main")
-        odd, _ = written(odd.select("node", F.struct(F.col("class_id").alias("c"), F.col("comp").alias("o"), "n").alias("p")), f"odd{depth}")
-        # Many: every class meets two fresh pivots.
-        crowded = mains.where(f"others > {small}").select("node")
-        order = F.struct(F.xxhash64("class_id", "tree", F.lit(depth)).alias("h"), F.col("class_id").alias("c"), F.col("comp").alias("o"), "n")
-        ends = large.join(crowded, "node").groupBy("node").agg(F.min(order).alias("x"), F.max(order).alias("y"))
-        ends = ends.select("node", F.explode(F.array("x", "y")).alias("p")).select("node", F.struct("p.c", "p.o", "p.n").alias("p"))
-        fresh = large.join(odd.unionByName(ends), "node").where((F.col("comp") != F.col("p.o")) & _near(F.col("n"), F.col("p.n"), percent))
-        fresh = fresh.select(F.least("class_id", "p.c").alias("a"), F.greatest("class_id", "p.c").alias("b"))
-        more, _ = written(sides.unionByName(fresh).distinct().join(tried, ["a", "b"], "left_anti"), f"more{depth}")
-        new, _ = written(confirmed(more), f"new{depth}")
-        if new.isEmpty():
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
+    profile, _ = written(rows.mapInArrow(_profile(k), "doc_id long, tx long, n long, s1 long, s2 long, mins array<int>"), "sets")
+    search = _Join(rows, k, percent, small, block)
+    classes, links = search.classes_of(profile)
+
+    trees = trees_for(recall, percent / 100, 2 * levels)
+    mins = F.col("mins")
+    roots = F.array(*(F.lit(v) for v in _mix(np.arange(1, trees + 1, dtype=np.uint64)).view(np.int64).tolist()))
+    nodes = classes.select("cid", "n", F.explode(_branch(_branch(roots, mins), mins)).alias("node"))
+    busy = search.keep(nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), "busy")
+    nodes = search.keep(nodes.join(busy, "node"), "nodes")  # a class alone in a node meets nobody there
+    texts = search.texts_of(nodes.select("cid").distinct())
+    tried = search.pivots(nodes)
+    links = links.unionByName(search.confirmed(tried, texts, "pivots"))
+    for level in range(1, levels + 1):
+        comps = connected_components(links)
+        found = search.open_nodes(nodes, comps, str(level))
+        few = found.where(f"size > {small} AND others <= {small}")
+        many = found.where(f"size > {small} AND others > {small}")
+        pairs = search.exhaustive(found.where(f"size <= {small}").unionByName(few.where("comp <> main")))
+        pairs = search.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{level}")
+        links = links.unionByName(search.confirmed(pairs, texts, str(level)))
+        tried = tried.unionByName(pairs)
+        last = level == levels
+        if not (many if last else few).isEmpty() or not few.isEmpty():
+            links = links.unionByName(search.blocks(many if last else many.limit(0), few, comps, texts, str(level)))
+        if last or many.isEmpty():
             break
-        all_links, tried = all_links.unionByName(new), tried.unionByName(more)
-        depth += 1
-    crowded = mains.where(f"others > {small}")
-    if not crowded.isEmpty():
-        # These have met pivots only: blocks of the classes outside meet each other and the blocks of the main component.
-        count = large.groupBy("node").agg(F.count("*").alias("all"))
-        shape = crowded.join(count, "node").select("node", "main", F.ceil(F.col("others") / block).cast("int").alias("ob"), F.ceil((F.col("all") - F.col("others")) / block).cast("int").alias("mb"))
-        spread = large.join(shape, "node").withColumn("out", F.col("comp") != F.col("main"))
-        spread = spread.withColumn("i", F.pmod(mixed, F.when(F.col("out"), F.col("ob")).otherwise(F.col("mb"))).cast("int"))
-        outs, mains_of = F.sequence(F.lit(0), F.col("ob") - 1), F.sequence(F.lit(0), F.col("mb") - 1)
-        key = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
-        among = F.transform(outs, lambda j: key(0, F.least("i", j), F.greatest("i", j), F.signum(F.col("i") - j) * -1))
-        across = F.transform(mains_of, lambda j: key(1, F.col("i"), j, F.lit(-1)))
-        inward = F.transform(outs, lambda j: key(1, j, F.col("i"), F.lit(1)))
-        keys = F.when(F.col("out"), F.concat(among, across)).otherwise(inward)
-        spread, _ = written(spread.select("node", "class_id", "comp", keys.alias("keys")), "spread")
-        cells = spread.join(texts.withColumnRenamed("id", "class_id"), "class_id").select("node", "class_id", "comp", "text", F.explode("keys").alias("key"))
-        cells = cells.select("node", "class_id", "comp", "text", "key.*")
-        last, _ = written(cells.groupBy("node", "kind", "x", "y").applyInArrow(_confirm_block(k, percent), "a long, b long").distinct(), "crowded")
-        all_links = all_links.unionByName(last)
-    comps = connected_components(all_links)
-
-    final = classes.select("s1", "s2", "n", "class_id").join(comps.withColumnRenamed("v", "class_id"), "class_id", "left")
-    final = final.select("s1", "s2", "n", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
-    out = profile.drop("nodes").join(final, ["s1", "s2", "n"], "left")
+        on = many.select("cid", "n", "node").join(classes.select("cid", "mins"), "cid")
+        nodes = search.keep(on.select("cid", "n", F.explode(_branch(_branch(F.array("node"), mins), mins)).alias("node")), f"nodes-{level}")
+    comps = connected_components(links)
+
+    component = classes.select("cid", "doc_id").join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least = component.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    final, _ = written(component.join(least, "comp").select("cid", "component_id"), "components")
+    discard(search.spark, *search.paths)
+    final = classes.select("s1", "s2", "n", "cid", F.col("doc_id").alias("class_id")).join(final, "cid").drop("cid")
+    out = profile.drop("mins", "tx").join(final, ["s1", "s2", "n"], "left")
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()
     component = F.when(lone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
