@@ -6,18 +6,18 @@ character trigrams) rates them, and a Viterbi pass with a penalty for switching
 labels every word, which gives spans of one language each.
 
 Learning takes whole texts of at most about ``per_language`` documents of each
-language (a hash of the id decides, so it is the same documents every time); the
-model holds at most ``max_grams`` trigrams and ``max_languages`` languages, which
-bounds what is broadcast.
+language (a hash of the id decides, so it is the same documents every time). The
+model holds every language and every trigram of these documents: it grows with the
+number of languages and not with the corpus.
 
 Labelling is one narrow pass: documents are never shuffled. Texts are walked
 together, word by word, so a step of the Viterbi pass is one vector operation.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 no spans; null languages are not learned from; null ids are carried; a script
-that no language was learned for leaves a word unrated, and a text of such words
-only goes to the first language in order; without any learned language all texts
-are ``und``; repeated rows are labelled each; ties go to the first language in
+that no language was learned for leaves a word unrated: its letters support no
+label, and a text of such words only goes to the first language in order with score
+0; without any learned language all texts are ``und``; very long texts are walked whole; repeated rows are labelled each; ties go to the first language in
 alphabetical order; other columns are not read.
 """
 
@@ -54,10 +54,12 @@ def script_of(char: str) -> str:
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters, one for each run of the text that has a letter."""
     if not text:
         return []
-    found = _RUN.findall(text.lower())
+    low = text.lower()
+    # Lower-casing may lengthen a character, and so cut a run; then each run is lower-cased by itself.
+    found = _RUN.findall(low) if len(low) == len(text) else [w.lower() for w in _RUN.findall(text)]
     if all(map(str.isalpha, found)):
         return found
     return [x for w in found if (x := "".join(filter(str.isalpha, w)))]
@@ -165,20 +167,18 @@ def viterbi(scores: np.ndarray, lengths: list[int], penalty: float) -> np.ndarra
     return labels
 
 
-def fit_languages(documents: DataFrame, *, per_language: int = 2000, max_grams: int = 200_000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit_languages(documents: DataFrame, *, per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows of ``documents`` (the caller leaves out held-out ones)."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return LanguageModel([])
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(1_000_000 * min(1.0, per_language / r["count"]))).otherwise(share)
+    shares = [x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, per_language / n))))]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).where("text IS NOT NULL")
     counted = sample.select("text", "lang").mapInArrow(_count, "lang string, gram string, n long")
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = grams.orderBy(F.desc(F.col("gram").startswith("#")), F.desc("n"), "lang", "gram").limit(max_grams)
-    return LanguageModel([(r.lang, r.gram, r.n) for r in top.toLocalIterator()])
+    return LanguageModel([(r.lang, r.gram, r.n) for r in grams.toLocalIterator()])
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -187,8 +187,6 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang",
 def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
     """Runs of equally labelled words, from the first's start to the last's end (code points)."""
     at = [(m.start(), m.end()) for m in _RUN.finditer(text) if any(map(str.isalpha, m[0]))]
-    if len(at) != len(labels):  # lower-casing changed the number of words: no exact offsets
-        return [{"start": 0, "end": len(text), "lang": langs[Counter(labels.tolist()).most_common(1)[0][0]]}]
     cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
     return [{"start": at[a][0], "end": at[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -206,16 +204,18 @@ def label_languages(documents: DataFrame, model: LanguageModel, *, penalty: floa
         ids = np.fromiter(chain.from_iterable(docs), np.int64, sum(lengths))
         labels = viterbi(model.word_scores(list(index))[ids], lengths, penalty)
         letters = np.fromiter(map(len, index), np.int64, len(index))[ids]
+        rated = np.fromiter((script_of(w[0]) in model.candidates for w in index), bool, len(index))[ids]
         lo = 0
         for text, n in zip(part, lengths, strict=True):
             if not n:
                 yield "und", 0.0, []
                 continue
             own = labels[lo : lo + n]
-            weight = np.bincount(own, letters[lo : lo + n], len(model.langs))
+            size, known = letters[lo : lo + n], rated[lo : lo + n]
+            weight = np.bincount(own, size * known, len(model.langs))
             lo += n
             top = int(weight.argmax())
-            yield model.langs[top], float(weight[top] / weight.sum()), _spans(text, own, model.langs)
+            yield model.langs[top], float(weight[top] / size.sum()), _spans(text, own, model.langs)
 
     def run(batches):
         model = shared.value
