@@ -47,9 +47,10 @@ def _vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]
 
 
 class TreeEncoder:
-    def __init__(self, path: str | None = None, pattern: str | None = None, leaf: int = 16_384, window: int = 64):
+    def __init__(self, path: str | None = None, pattern: str | None = None, leaf: int = 512, window: int = 64):
         self.encoding, self.sizes = _vocabulary(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
         self.leaf, self.window = leaf, window
+        self.joins = 0  # of all texts so far
 
     def _leaf(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), "<u4")
@@ -70,6 +71,7 @@ class TreeEncoder:
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         width = self.window
+        self.joins += 1
         while True:
             start = max(lo, mid - width)
             end = min(hi, mid + width)
