@@ -23,6 +23,8 @@ table gives an empty result; with fewer rows than shards some shards are empty.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,33 +48,80 @@ def communication_matrix(partition_sizes: list[int], sizes: np.ndarray, seed: in
 
 
 def _draw(rng: np.random.Generator, lack: np.ndarray, n: int) -> np.ndarray:
-    """How ``n`` rows fall into the free places of the shards, each place at most once.
-    numpy's law takes fewer than 1e9 places; among more, distinct places are drawn."""
-    total = int(lack.sum())
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(lack, n, method="marginals")
-    places = np.unique(rng.integers(total, size=n))
-    while len(places) < n:
-        places = np.unique(np.concatenate([places, rng.integers(total, size=n - len(places))]))
-    return np.bincount(np.searchsorted(np.cumsum(lack), places, side="right"), minlength=len(lack))
+    """How ``n`` rows fall into the free places of the shards: the multivariate
+    hypergeometric law, one shard after another."""
+    out, rest = np.zeros(len(lack), np.int64), int(lack.sum())
+    for i, free in enumerate(lack.tolist()):
+        if n == 0:
+            break
+        rest -= free
+        out[i] = hypergeometric(rng, free, rest, n)
+        n -= int(out[i])
+    return out
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` places drawn from good + bad are good, for numbers of any size:
+    ratio of uniforms with a table mountain hat (Stadlober 1989); few places are
+    drawn one by one."""
+    total = good + bad
+    few, m = min(good, bad), min(n, total - n)
+    if m < 10:
+        z, left, places = 0, few, total
+        for _ in range(m):
+            if rng.random() * places < left:
+                z, left = z + 1, left - 1
+            places -= 1
+    else:
+        many, share = max(good, bad), few / total
+        centre = m * share + 0.5
+        spread = math.sqrt((total - m) * m * share * (1 - share) / (total - 1) + 0.5)
+        width = 1.7155277699214135 * spread + 0.8989161620588988
+        mode = int((m + 1) * (few + 1) / (total + 2))
+        weight = lambda k: math.lgamma(k + 1) + math.lgamma(few - k + 1) + math.lgamma(m - k + 1) + math.lgamma(many - m + k + 1)
+        peak = weight(mode)
+        end = min(min(m, few) + 1, math.floor(centre + 16 * spread))
+        while True:
+            x, y = rng.random(), rng.random()
+            if x == 0:
+                continue
+            w = centre + width * (y - 0.5) / x
+            if not 0 <= w < end:
+                continue
+            z = int(w)
+            if many - m + z >= 0 and 2 * math.log(x) <= peak - weight(z):
+                break
+    # What was drawn counts the rarer kind among the m drawn or left.
+    if good > bad:
+        z = m - z
+    return z if m == n else good - z
 
 
 def _key(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def assign_shards(documents: DataFrame, *, shards: int = 16, seed: int = 20240, block_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, size, text_crc32, shard and slot (gapless from 0)."""
-    spark = documents.sparkSession
+def _pinned(documents: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """The rows' numbers (and further columns), pinned to partitions and places by a table in the shared folder."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(
+        F.struct(*columns).alias("sw_row") if columns else F.lit(None).alias("sw_row"),
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().alias("pos"),
     )
-    rows, _ = written(rows, "rows")
+    return written(rows if columns else rows.drop("sw_row"), "rows")[0]
+
+
+def assign_shards(documents: DataFrame, *, shards: int = 16, seed: int = 20240, block_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, size, text_crc32, shard and slot (gapless from 0)."""
+    return _assign(_pinned(documents, id_col, text_col), shards, seed, block_rows)
+
+
+def _assign(rows: DataFrame, shards: int, seed: int, block_rows: int) -> DataFrame:
+    spark = rows.sparkSession
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()}
     total = sum(sizes.values())
     matrix = communication_matrix(list(sizes.values()), shard_sizes(total, shards), seed)
@@ -95,13 +144,15 @@ def assign_shards(documents: DataFrame, *, shards: int = 16, seed: int = 20240,
     return placed.select("doc_id", "size", "text_crc32", "pos", "shard", (F.col("rank") + F.col("offset")).cast("long").alias("slot"))
 
 
-def write_shards(documents: DataFrame, path: str, **options) -> None:
-    """Write the documents' rows as parquet, a folder for each shard, in slot order.
-    Ids must be unique here, as texts are joined back by id."""
-    id_col = options.get("id_col", "doc_id")
-    placed = assign_shards(documents, **options).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    joined = documents.join(placed, id_col)
-    joined.repartition("shard", F.floor(F.col("slot") / 500_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, path: str, *, shards: int = 16, seed: int = 20240, block_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents' rows as Parquet, a folder for each shard, in slot order.
+    Rows are found again by the place they were pinned to, so null and repeated ids
+    are rows like any other."""
+    rows = _pinned(documents, id_col, text_col, *documents.columns)
+    placed = _assign(rows.drop("sw_row"), shards, seed, block_rows).select("pos", F.col("shard").alias("sw_shard"), F.col("slot").alias("sw_slot"))
+    joined = rows.select("sw_row", "pos").join(placed, "pos").drop("pos")
+    ordered = joined.repartition("sw_shard", F.floor(F.col("sw_slot") / block_rows)).sortWithinPartitions("sw_shard", "sw_slot")
+    ordered.select("sw_row.*", F.col("sw_shard").alias("shard"), F.col("sw_slot").alias("slot")).write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
