@@ -7,24 +7,26 @@ same word sequence also starts in a document with a smaller id.
    the minima of hashed half-windows over each window. Equal windows have equal
    anchors, so the count of an anchor is never below that of its windows, and
    there is about one anchor for 13 words instead of one window for each.
-2. Whole copies (equal word sequences) are settled by their content hash: all but
-   the smallest id are removed, and take no further part.
-3. Count-min: every partition counts the cells of its anchors (a partial
-   aggregate is the partition's sketch, stored sparsely), the sketches are merged
-   by cell, and cells counted once are done with. It can only overestimate, so no
-   repeated window is lost. Documents without such a cell are finished.
-4. The remaining texts are packed into chunks. Windows whose anchor's cell was
-   counted twice or more are dealt by hash to slices of bounded size, each chunk
+2. Whole copies (equal word sequences) are put together first, so that a large group
+   of them is one partial aggregate: all but the smallest id are removed whole.
+3. Count-min: a sketch of ``ROWS`` rows of 2^``bits`` cells, a fixed width. Every
+   partition counts the cells of its anchors in each row (the partial aggregate is
+   the partition's sketch, of which only cells in use are stored), the sketches are merged
+   by cell, and the least count of an anchor's cells estimates how often its windows
+   occur. It can only overestimate, so no repeated window is lost. Windows estimated
+   once are done with, and documents without others are finished.
+4. The remaining texts are packed into chunks. Windows estimated twice or more
+   are dealt by hash to slices of bounded size, each chunk
    sending a window once with its smallest id; a slice finds the smallest id of
    all and answers each chunk with one bit for each of its windows. The chunks
    then drop the words covered.
 
-Windows are compared by 96 bits of hash. Hot passages cost no more than one entry
+Windows are grouped by 128 bits of hash. Hot passages cost no more than one entry
 in each chunk, and no group of documents is ever gathered.
 
 Defined cases: null or empty texts have no words and nothing is removed; texts
-with fewer than ``width`` words lose nothing; rows with a null id take no part
-and lose nothing; rows that share an id don't remove words of each other; other
+with fewer than ``width`` words lose nothing; very long texts are cut whole; rows
+with a null id take no part and lose nothing; rows that share an id don't remove words of each other; other
 columns are not read; an empty table gives an empty result.
 """
 
@@ -36,12 +38,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Rows of the count-min sketch.
+ROWS = 2
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -87,11 +91,29 @@ def sliding_min(a: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(a[:n], a[k - have : k - have + n])
 
 
-def window_anchors(hashes: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """The count-min cell of every window."""
+def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of every window."""
     half = max(1, width // 2)
     grams = rolling(hashes, half, _B1)
-    return (sliding_min(grams, width - half + 1) >> np.uint64(64 - bits)).astype(np.int64)
+    return sliding_min(grams, width - half + 1).view(np.int64)
+
+
+def sketch_cell(anchor: Column, row: int, bits: int) -> Column:
+    """The cell of an anchor in a row of the sketch; rows follow each other."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(row), anchor), 64 - bits) + F.lit(row << bits)
+
+
+def repeated_cells(anchors: DataFrame, bits: int) -> DataFrame:
+    """(cell) of the merged sketch's cells that were counted twice or more; ``anchors`` has a column anchor."""
+    cells = anchors.select(F.explode(F.array(*(sketch_cell(F.col("anchor"), r, bits) for r in range(ROWS)))).alias("cell"))
+    return cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+
+
+def estimated_repeated(anchors: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
+    """The rows of ``anchors`` whose least count is two or more: all of their cells are in ``cells``."""
+    for r in range(ROWS):
+        anchors = anchors.join(cells, sketch_cell(F.col("anchor"), r, bits) == F.col("cell")).drop("cell")
+    return anchors
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -102,7 +124,7 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _profile(width: int, bits: int):
+def _profile(width: int):
     def run(batches):
         for batch in batches:
             n_words, content, sha, cells = [], [], [], []
@@ -112,7 +134,7 @@ def _profile(width: int, bits: int):
                 sha.append(_sha(words))
                 if len(words) >= width:
                     h = word_hashes(words)
-                    cells.append(np.unique(window_anchors(h, width, bits)))
+                    cells.append(np.unique(window_anchors(h, width)))
                 else:
                     cells.append(np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, cells)]).astype("i4")
@@ -149,17 +171,17 @@ def _pack(batches):
             at = end
 
 
-def _windows(row: dict, width: int, bits: int):
+def _windows(row: dict, width: int):
     """Of a chunk: per text its words and the positions of its windows to compare,
     and for all of these windows their hashes, checks and texts' indices."""
     texts, hashes, checks, docs = [], [], [], []
     for k, (text, cells) in enumerate(zip(row["texts"], row["cells"], strict=True)):
         words = _words(text)
         h = word_hashes(words)
-        at = np.flatnonzero(np.isin(window_anchors(h, width, bits), np.array(cells, np.int64)))
+        at = np.flatnonzero(np.isin(window_anchors(h, width), np.array(cells, np.int64)))
         texts.append((words, at))
         hashes.append(rolling(h, width, _B1)[at])
-        checks.append((rolling(h, width, _B2)[at] >> np.uint64(32)).astype(np.uint32))
+        checks.append(rolling(h, width, _B2)[at])
         docs.append(np.full(len(at), row["ids"][k], np.int64))
     return texts, np.concatenate(hashes), np.concatenate(checks), np.concatenate(docs)
 
@@ -175,16 +197,21 @@ def _entries(hashes, checks, docs):
     return h[first], c[first], d[first], entry
 
 
-def _send(width: int, bits: int, slices: int):
+def _by_slice(hashes: np.ndarray, slices: int) -> dict[int, np.ndarray]:
+    """The entries of each slice that has any, in order."""
+    to = ((hashes >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    have, first = np.unique(to[order], return_index=True)
+    return dict(zip(have.tolist(), np.split(order, first[1:]), strict=True)) if len(have) else {}
+
+
+def _send(width: int, slices: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, hashes, checks, docs = _windows(row, width, bits)
+                _, hashes, checks, docs = _windows(row, width)
                 h, c, d, _ = _entries(hashes, checks, docs)
-                to = ((h >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(slices + 1))
-                rows = [(s, order[a:b]) for s, a, b in zip(range(slices), cuts, cuts[1:], strict=False) if b > a]
+                rows = list(_by_slice(h, slices).items())
                 tables = [np.unique(d[i], return_inverse=True) for _, i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -205,7 +232,7 @@ def _answer(group: pa.Table) -> pa.Table:
     """For each chunk's windows of a slice: whether another chunk has a smaller id."""
     rows = group.to_pylist()
     hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-    checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
+    checks = np.concatenate([np.frombuffer(r["checks"], np.uint64) for r in rows])
     docs = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["which"], np.uint16)] for r in rows])
     _, _, least, entry = _entries(np.concatenate(hashes), checks, docs)
     later = least[entry] < docs
@@ -214,16 +241,16 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "slice": pa.array([r["slice"] for r in rows], pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def _remove(width: int, bits: int, slices: int, keep_text: bool):
+def _remove(width: int, slices: int, keep_text: bool):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                texts, hashes, checks, docs = _windows(row, width, bits)
+                texts, hashes, checks, docs = _windows(row, width)
                 h, _, least, entry = _entries(hashes, checks, docs)
-                to = ((h >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
+                entries = _by_slice(h, slices)
                 later = np.zeros(len(h), bool)
                 for answer in row["answers"] or ():
-                    own = np.flatnonzero(to == answer["slice"])
+                    own = entries[answer["slice"]]
                     later[own] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=len(own)).astype(bool)
                 gone = later[entry] | (least[entry] < docs)
                 n_words, removed, sha, kept, lo = [], [], [], [], 0
@@ -247,14 +274,14 @@ def _remove(width: int, bits: int, slices: int, keep_text: bool):
     return run
 
 
-def dedup_substrings(documents: DataFrame, *, width: int = 50, bits: int = 48, slice_windows: int = 200_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(documents: DataFrame, *, width: int = 50, bits: int = 44, slice_windows: int = 200_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined
     by one space); with ``keep_text`` also kept_text, for texts that lost words (for
     the others it is null: they stay as they are). Ids must be integers."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
     profile, _ = written(
-        rows.mapInArrow(_profile(width, bits), "doc_id long, tx long, n_words long, sha string, cells array<long>"), "anchors"
+        rows.mapInArrow(_profile(width), "doc_id long, tx long, n_words long, sha string, cells array<long>"), "anchors"
     )
     # Whole copies. The hash of the joined words is the content's; a hot group is one partial aggregate.
     firsts = profile.where(f"doc_id IS NOT NULL AND n_words >= {width}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -262,19 +289,19 @@ def dedup_substrings(documents: DataFrame, *, width: int = 50, bits: int = 48, s
     firsts, _ = written(firsts.where("n > 1").select("sha", "first"), "firsts")
     settled, _ = written(profile.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first"), "settled")
     live = settled.where(f"NOT copy AND doc_id IS NOT NULL AND n_words >= {width}")
-    sketch = live.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    hits = live.select("doc_id", "tx", F.explode("cells").alias("cell")).join(sketch, "cell")
-    hits, _ = written(hits.groupBy("doc_id", "tx").agg(F.collect_set("cell").alias("cells")), "hits")
+    cells, _ = written(repeated_cells(live.select(F.explode("cells").alias("anchor")), bits), "sketch")
+    hits = estimated_repeated(live.select("doc_id", "tx", F.explode("cells").alias("anchor")), cells, bits)
+    hits, _ = written(hits.groupBy("doc_id", "tx").agg(F.collect_set("anchor").alias("cells")), "hits")
     chunks, _ = written(
         rows.join(hits.hint("shuffle_hash"), ["doc_id", "tx"]).select("doc_id", "text", "cells").mapInArrow(_pack, _CHUNK), "chunks"
     )
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     slices = max(1, -(-total // slice_windows))
-    sent = chunks.mapInArrow(_send(width, bits, slices), "slice int, chunk long, hashes binary, checks binary, ids binary, which binary")
+    sent = chunks.mapInArrow(_send(width, slices), "slice int, chunk long, hashes binary, checks binary, ids binary, which binary")
     answers = sent.groupBy("slice").applyInArrow(_answer, "chunk long, slice int, bits binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("slice", "bits")).alias("answers"))
     final = chunks.join(answers, "chunk", "left").mapInArrow(
-        _remove(width, bits, slices, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        _remove(width, slices, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])]
     easy = settled.join(hits.select("doc_id", "tx"), ["doc_id", "tx"], "left_anti")
