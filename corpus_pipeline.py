@@ -2,8 +2,9 @@
 Parquet and read again as the next one's input.
 
 1. language_id: labels every text, learning from the rows that aren't held out;
-   texts without a letter and texts in which no language holds three tenths of the
-   letters go (one in two languages stays). The lang column becomes the label.
+   texts without a letter, texts in scripts that no language was learned for and
+   texts in which no language holds three tenths of the letters go (one in two
+   languages stays). The lang column becomes the label.
 2. near_dedup: sets of five-word shingles, similarity 0.8; of each component the
    smallest id stays. Texts without words have no duplicates and stay.
 3. decontaminate: documents of which a twentieth or more of the words lies in
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import byte_bpe, decontaminate, language, near_dedup, secrets
-from sievewright.llm.common import held_out, table, written
+from sievewright.llm.common import discard, held_out, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,7 +68,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
