@@ -1,9 +1,12 @@
 """Operators against brute-force versions, and their defined cases."""
 
+import datetime
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +99,61 @@ def test_language_spans_scripts_and_cases(spark):
     assert language.label_languages(frame(spark, texts), empty).where("lang_pred = 'und'").count() == len(texts)
 
 
+def brute_labels(text, model, penalty):
+    """(label, score, spans) by an own reading of the method: all paths over the words of a short text."""
+    runs = [m for m in re.finditer(r"[^\W\d_]+", text or "") if any(c.isalpha() for c in m[0])]
+    words = ["".join(c for c in m[0].lower() if c.isalpha()) for m in runs]
+    if not words:
+        return "und", 0.0, []
+    k = len(model.langs)
+    rows, rated = [], []
+    for w in words:
+        padded = f" {w} "
+        grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
+        row = [sum(model.scores[model.index.get(g, -1), j] for g in grams) for j in range(k)]
+        may = model.candidates.get(language.script_of(w[0]))
+        rated.append(may is not None)
+        rows.append([0.0] * k if may is None else [x if ok else -1e6 for x, ok in zip(row, may, strict=True)])
+    cost = lambda p: sum(r[s] for r, s in zip(rows, p, strict=True)) - penalty * sum(a != b for a, b in itertools.pairwise(p))
+    best = max(itertools.product(range(k), repeat=len(words)), key=cost)
+    weight = [sum(len(w) for w, s, ok in zip(words, best, rated, strict=True) if s == j and ok) for j in range(k)]
+    top = max(range(k), key=lambda j: (weight[j], -j))
+    spans = []
+    for m, s in zip(runs, best, strict=True):
+        if spans and spans[-1][2] == model.langs[s]:
+            spans[-1][1] = m.end()
+        else:
+            spans.append([m.start(), m.end(), model.langs[s]])
+    # Where a word is rated for no language, several paths are equally good.
+    return model.langs[top], weight[top] / sum(map(len, words)), [tuple(x) for x in spans] if all(rated) else None
+
+
+def test_language_labels_match_brute_force(spark):
+    rng = random.Random(12)
+    en, de, ru = "the quick brown fox and the lazy dog with that thing", "der schnelle braune fuchs und nicht die faule katze ist", "быстрая лиса прыгает через ленивую собаку"
+    train = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([(en, "en"), (de, "de"), (ru, "ru")] * 5)], "doc_id long, text string, lang string")
+    model = language.fit_languages(train)
+    pool = [*en.split(), *de.split(), *ru.split(), "İstanbul", "中文", "ΑΒΓ", "42", "a1b"]
+    texts = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(7)))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, "İİ the İx"), (63, "中文 中文"), (64, "中文 the dog")]
+    got = by_id(language.label_languages(frame(spark, texts), model, penalty=3.0))
+    for i, t in texts:
+        label, score, spans = brute_labels(t, model, 3.0)
+        r = got[i]
+        assert r.lang_pred == label and abs(r.score - score) < 1e-9, t
+        assert spans is None or [tuple(x) for x in r.spans] == spans, t
+    assert got[63].score == 0.0  # no language was learned for its script
+    assert language.label_languages(frame(spark, []), model).count() == 0
+
+
+def test_every_language_and_trigram_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x common", f"l{i:03}") for i in range(260)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 260 and all(f" {t[:2]}" in model.index for _, t, _ in rows)
+    long = [(1, "x " * 200_000), (2, "the dog " * 100_000)]
+    assert language.label_languages(frame(spark, long), model).where("score BETWEEN 0 AND 1").count() == 2
+
+
 def test_language_held_out_accuracy(spark):
     got = language.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
@@ -137,7 +195,69 @@ def test_secrets_and_ledger(spark):
     assert red[10].text == '[secret]"' and red[16].text == "[secret] ok" and red[1].text is None and red[17].text == red[10].text
 
 
+def test_ledger_is_kept_and_read_again(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    docs = frame(spark, ODD + SECRETS)
+    first = secrets.secret_digest(secrets.scan_with_ledger(docs, ledger)).collect()
+    held = ledger.read().count()
+    assert held == len({t or "" for _, t in ODD + SECRETS})
+    again = secrets.secret_digest(secrets.scan_with_ledger(docs, ledger)).collect()
+    assert ledger.read().count() == held and sorted(again, key=repr) == sorted(first, key=repr)
+    secrets.scan_with_ledger(frame(spark, [(1, "token: abcdefghijklmnop")]), ledger)
+    assert ledger.read().count() == held + 1
+
+
+def test_texts_that_are_not_moved_hold_nothing(spark):
+    texts = [t for _, t in SECRETS] + [
+        "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0abc.abcdefgh_-12", "ghp_" + "a1" * 20, "xoxb-1234567890-abc", "sk_live_" + "a" * 20, "https://me:hunter22@host", "f" * 16, "PassWord='aaaaaaaaaaaaaaa'",
+    ]
+    docs = frame(spark, list(enumerate([*texts, "nothing here", "deadbeef", None, ""])))
+    may = by_id(docs.select("doc_id", F.coalesce(secrets.may_hold(F.col("text")), F.lit(False)).alias("may")))
+    assert all(secrets.scan_text(t) == [] or may[i].may for i, t in enumerate(texts)) and not may[len(texts)].may
+    assert sum(bool(secrets.scan_text(t)) for t in texts) >= 11
+
+
+def test_web_tokens_match_the_plain_pattern():
+    rng, plain = random.Random(5), re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    part = lambda: rng.choice(["", "x-", "x", "-"]) + rng.choice(["eyJ", "", "eyJeyJ"]) + "a" * rng.choice([3, 8, 9])
+    for _ in range(2000):
+        text = rng.choice([" ", "."]).join(".".join(part() for _ in range(rng.randrange(1, 7))) for _ in range(3))
+        got = list(secrets._web_tokens(text))
+        assert got == [m.span() for m in plain.finditer(text)], text
+
+
+@pytest.mark.parametrize("text", ["eyJ-" * 250_000, "a." * 500_000 + " ://", "a://" * 250_000, "token" + " " * 10**6, "password" * 125_000, "-----BEGIN " * 90_000, "xoxb-" * 200_000, "0123456789abcdef" * 60_000, "AKIA" * 250_000, "ghp_" * 250_000])
+def test_secret_scans_of_hostile_texts_take_linear_time(text):
+    began = time.perf_counter()
+    secrets.scan_text(text)
+    assert time.perf_counter() - began < 10
+
+
 # ---- 4
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(None, "n"), (7, "a"), (7, "a"), (7, "b"), (None, None), *[(i, f"t{i}") for i in range(100, 160)]]
+    docs = frame(spark, rows).repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "shards"), shards=4, block_rows=5)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    assert set(docs.columns) | {"shard", "slot"} == set(back.columns)
+    for shard in range(4):
+        slots = sorted(r.slot for r in back.where(F.col("shard") == shard).collect())
+        assert slots == list(range(len(slots))) and len(slots) in (16, 17)
+
+
+def test_hypergeometric_draws_follow_the_law():
+    rng = np.random.default_rng(6)
+    for good, bad, n in ((5, 9, 4), (30, 70, 40), (70, 30, 60), (500, 20, 300), (40, 4000, 2500), (12, 0, 7), (0, 12, 7)):
+        drawn = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1)
+        law = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)]) * 4000
+        often = law >= 5
+        assert drawn[law == 0].sum() == 0
+        assert ((drawn[often] - law[often]) ** 2 / law[often]).sum() < often.sum() + 6 * math.sqrt(2 * often.sum()) + 3, (good, bad, n)
+    huge = [sharding.hypergeometric(rng, 10**11, 9 * 10**11, 10**10) for _ in range(200)]
+    assert abs(np.mean(huge) - 10**9) < 5 * 3e4 / math.sqrt(200) and 2e4 < np.std(huge) < 4e4
+
+
 def test_shards_are_exact_and_uniform(spark):
     docs = frame(spark, [(i, f"t{i}" * (i % 5)) for i in range(3000)] + ODD).repartition(7)
     rows = sharding.assign_shards(docs, shards=16, block_rows=50).collect()
@@ -149,6 +269,8 @@ def test_shards_are_exact_and_uniform(spark):
     data = dict(ODD)[6].encode()
     assert (r["size"], r.text_crc32) == (len(data) + 1, zlib.crc32(data))
     assert next(r for r in rows if r.doc_id == 1)["size"] == 1
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in [*((i, f"t{i}" * (i % 5)) for i in range(3000)), *ODD]]
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=repr) == sorted(want, key=repr)
     evens = np.bincount([r.shard for r in rows if r.doc_id is not None and r.doc_id % 2 == 0], minlength=16)
     assert ((evens - evens.mean()) ** 2 / evens.mean()).sum() < 45  # chi-square with 15 degrees
     assert sharding.assign_shards(frame(spark, [])).count() == 0
@@ -171,6 +293,16 @@ def test_tree_encoding_equals_plain_encoding():
     assert tree.encode("a" * 2000).tolist() == tree.encoding.encode_ordinary("a" * 2000)
 
 
+def test_most_documents_go_through_joins(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    tree, joined = byte_bpe.TreeEncoder(), 0
+    for text in texts:
+        before = tree.joins
+        assert tree.encode(text).tolist() == tree.encoding.encode_ordinary(text)
+        joined += tree.joins > before
+    assert joined >= 0.6 * len(texts)
+
+
 def test_token_digest_and_round_trip(spark):
     docs = frame(spark, ODD)
     enc = byte_bpe.TreeEncoder(public_tokenizers.path(byte_bpe.VOCABULARY)).encoding
@@ -201,7 +333,7 @@ def luhn(digits):
 def test_pseudonyms_keep_format_and_links(spark):
     text = "c 4845168114407329 4845-1681-1440-7329; ip 97.51.17.173 tel +1 (706) 555-3138 mail a.b@mail7.example.com on 2024-02-29 ssn 123-45-6789."
     keep = "9807915762804490 300.1.1.1 1.2.3.4.5 2024-02-31 000-12-3456 v1.2.3 12345 03-04"
-    got = by_id(pii.pseudonymise(frame(spark, [*ODD, (20, text), (21, "again 97.51.17.173"), (22, keep)])))
+    got = by_id(pii.pseudonymise(frame(spark, [*ODD, (20, text), (21, "again 97.51.17.173"), (22, keep)]), key="k"))
     new = got[20].text
     assert got[20].kinds == ["card", "card", "ip", "phone", "email", "date", "ssn"]
     card, dashed = re.findall(r"\d{4}-?\d{4}-?\d{4}-?\d{4}", new)
@@ -210,7 +342,41 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert "example.com" not in new and re.search(r"on \d{4}-\d\d-\d\d ssn \d{3}-\d\d-\d{4}\.$", new)
     assert re.search(r"ip (\S+)", new)[1] == got[21].text.split()[1] != "97.51.17.173"
     assert got[22].text == keep and got[1].text is None and got[2].text == "" and got[5].text == "a " * 3000
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), key="k").count() == 0
+
+
+def test_numbers_after_punctuation_and_dates_before_times(spark):
+    text = "No.4845168114407329 SSN-123-45-6789 2024-01-05T10:00 1.4845168114407329 2024-01-05Tea"
+    r = pii.pseudonymise(frame(spark, [(1, text)]), key="k").first()
+    assert r.kinds == ["card", "ssn", "date"] and re.fullmatch(r"No\.4\d{15} SSN-\d{3}-\d\d-\d{4} \d{4}-\d\d-\d\dT10:00 1\.4845168114407329 2024-01-05Tea", r.text)
+    assert r.text[:20] != text[:20]
+
+
+def brute_feistel(key, name, a, b, m, n):
+    for i in range(pii.ROUNDS):
+        draw = lambda v, i=i: int(hashlib.sha256(f"{key}|{name}|{i}|{v}".encode()).hexdigest()[:15], 16)
+        a, b = ((a + draw(b) % m) % m, b) if i % 2 == 0 else (a, (b + draw(a) % n) % n)
+    return a, b
+
+
+def test_pseudonyms_match_brute_force(spark):
+    rng = random.Random(3)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(72_900)) for _ in range(40)]
+    got = by_id(pii.pseudonymise(frame(spark, [(i, f"{ip} {d}") for i, (ip, d) in enumerate(zip(ips, days, strict=True))]), key="k"))
+    for i, (ip, d) in enumerate(zip(ips, days, strict=True)):
+        o = list(map(int, ip.split(".")))
+        a, b = brute_feistel("k", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        x, y = brute_feistel("k", "date", *divmod((d - datetime.date(1900, 1, 1)).days, 270), 270, 270)
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(x * 270 + y)
+        assert got[i].text == f"{a // 256}.{a % 256}.{b // 256}.{b % 256} {day}"
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 500_000 + "1", "a@" * 500_000, "1" * 10**6, "1." * 500_000, "+1 (" * 250_000, "1234-" * 200_000, "a.b%" * 250_000 + "@", "2024-01-0" * 100_000, "(123) " * 160_000])
+def test_pseudonyms_survive_hostile_texts(spark, text):
+    began = time.perf_counter()
+    r = pii.pseudonymise(frame(spark, [(1, text)]), key="k").first()
+    assert len(r.text) == len(text) and time.perf_counter() - began < 60
 
 
 # ---- 7
@@ -231,6 +397,29 @@ def test_quality_classifier_held_out(spark):
     assert got.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_quality_scores_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    d = len(quality_ranker.FEATURES)
+    ranker = quality_ranker.PairwiseRanker(rng.normal(size=d), rng.uniform(0.5, 2, d), rng.normal(size=d), 0.3, 0.7)
+    texts = [(i, t) for i, (_, t) in enumerate(ODD)] + [(50, "The cat! and THE dog\nThe cat! and THE dog\n# x"), (51, rand_text(random.Random(1), 200, 9))]
+    got = by_id(quality_ranker.score_quality(frame(spark, texts), ranker))
+    counts = by_id(text_features(frame(spark, texts)))
+    for i, t in texts:
+        c = counts[i]
+        assert (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words) == base_features(t)
+        words, letters = max(c.n_words, 1), max(c.n_letters, 1)
+        x = [
+            math.log(1 + 20 * c.n_symbols / words), c.n_upper / letters, c.n_repeat_words / words, math.log(1 + c.n_dup_lines), c.n_stop / words,
+            math.log(1 + 20 * c.n_bang / words), math.log(1 + c.word_chars / words), c.n_distinct / words, math.log(1 + c.n_words),
+        ]
+        z = float(((np.array(x) - ranker.mean) / ranker.scale) @ ranker.weights)
+        want = 1 / (1 + math.exp(-(z - 0.3 + math.log(0.7 / 0.3))))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.7)
+    assert quality_ranker.score_quality(frame(spark, []), ranker).count() == 0
+    none = quality_ranker.fit_ranker(frame(spark, []), spark.createDataFrame([], "doc_id long, quality int"))
+    assert none.weights.tolist() == [0.0] * d
+
+
 def test_quality_classifier_without_labels(spark):
     labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, quality int")
     ranker = quality_ranker.fit_ranker(frame(spark, ODD), labels)
@@ -265,15 +454,28 @@ def test_substrings_match_brute_force(spark, bits):
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
+def test_sketch_never_underestimates(spark):
+    rng = random.Random(2)
+    anchors = [rng.randrange(-(2**60), 2**60) for _ in range(3000)]
+    rows = spark.createDataFrame([(a,) for a in anchors + anchors[:200] * 2], "anchor long")
+    for bits in (44, 10):
+        cells = substring_dedup.repeated_cells(rows, bits)
+        found = {r.anchor for r in substring_dedup.estimated_repeated(rows, cells, bits).collect()}
+        assert set(anchors[:200]) <= found
+        assert len(found) == 200 if bits == 44 else len(found) > 200
+        one = {r.cell for r in cells.collect()}
+        assert len({c >> bits for c in one}) == substring_dedup.ROWS
+
+
 # ---- 9
 def brute_components(texts, k, percent):
-    sets = {}
-    for i, t in texts:
+    sets = []
+    for i, t in dict.fromkeys(texts):
         w = (t or "").encode().lower().split()
         if i is not None and w:
-            sets[i] = {tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))}
-    comp = {i: i for i in sets}
-    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+            sets.append((i, {tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))}))
+    comp = {i: i for i, _ in sets}
+    links = [(i, j) for (i, a), (j, b) in itertools.combinations(sets, 2) if 100 * len(a & b) >= percent * len(a | b)]
     for _ in range(len(sets)):
         for a, b in links:
             comp[a] = comp[b] = min(comp[a], comp[b])
@@ -292,6 +494,10 @@ def test_near_duplicates_match_brute_force(spark):
             texts.append((n, " ".join(copy)))
             n += 1
     texts += [(900, None), (901, ""), (902, "One two"), (903, "one TWO"), (None, texts[0][1])]
+    # Two texts of one id join what they are linked with; a row may be repeated; a text may be very long.
+    a, b = rand_text(rng, 60, 10**6), rand_text(rng, 60, 10**6)
+    long = rand_text(rng, 30_000, 10**6)
+    texts += [(910, a), (910, b), (911, f"{b} w"), (912, f"{a} w"), *[(913, f"{b} x")] * 30, (914, long), (915, f"{long} w")]
     got = near_dedup.near_duplicates(frame(spark, texts), k=2, percent=80, small=6).collect()
     want = brute_components(texts, 2, 80)
     assert len(got) == len(texts)
@@ -301,6 +507,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_recall_decides_the_number_of_trees():
+    trees = near_dedup.trees_for(0.9999, 0.8, 4)
+    assert near_dedup.recall_bound(0.8, trees, 4) >= 0.9999 > near_dedup.recall_bound(0.8, trees - 1, 4)
+    assert near_dedup.survival(1.0, 9) == 1 and near_dedup.survival(0.0, 1) == 0
+    rng, found = np.random.default_rng(1), []
+    for _ in range(400):  # the survival of a pair, drawn
+        alive = 1
+        for _ in range(4):
+            alive = sum(rng.random() < 0.8 for _ in range(alive) for _ in range(1 + (rng.random() < 0.25)))
+        found.append(alive > 0)
+    assert abs(np.mean(found) - near_dedup.survival(0.8, 4)) < 0.08
+    with pytest.raises(ValueError):
+        near_dedup.trees_for(1.0, 0.8, 4)
+
+
 def passage_family(rng, k, size, planted):
     """Texts that share a passage (similarity 0.75 to 0.79) and, for each of ``planted``, a pair that also shares the start of its tails."""
     passage = [f"p{rng.randrange(10**9)}" for _ in range(350 + k)]
@@ -357,3 +578,20 @@ def test_contamination_matches_brute_force(spark, block):
     none = decontaminate.contamination_digest(decontaminate.find_contamination(frame(spark, docs), table.where("false")))
     assert none.count() == len(docs) and none.where("contaminated").count() == 0
     assert decontaminate.find_contamination(frame(spark, []), table).count() == 0
+
+
+@pytest.mark.parametrize("block", [50_000, 300])
+def test_contamination_of_long_texts_and_items(spark, block):
+    rng = random.Random(13)
+    item = [f"i{rng.randrange(10**6)}" for _ in range(3000)]
+    noise = lambda n: [f"d{rng.randrange(10**6)}" for _ in range(n)]
+    text = noise(40_000) + item[100:120] + noise(5) + item[2000:2300] + item[50:61] + noise(40_000)
+    docs = [(1, " ".join(text)), (1, " ".join(text)), (2, " ".join(item)), (3, " ".join(noise(100))), (None, " ".join(item[7:27]))]
+    table = spark.createDataFrame([(1, " ".join(item), "x"), (2, " ".join(item[:50]), "x")], "item_id long, text string, doc_id string")
+    found = decontaminate.find_contamination(frame(spark, docs), table, block=block, extra=("source",))
+    rows = decontaminate.contamination_digest(found.drop("source")).collect() if block == 300 else found.collect()
+    assert len(rows) == 5
+    if block == 300:
+        assert sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in rows) == [(0, 20, 2, True), (1, 320, 1, False), (1, 320, 1, False), (2, 3000, 2, True), (3, 0, 0, False)]
+    else:
+        assert sorted([h.end - h.start for h in r.hits] for r in rows if r.doc_id == 1) == [[20, 300], [20, 300]]

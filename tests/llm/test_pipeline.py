@@ -68,7 +68,7 @@ def test_secret_stage_redacts_and_keeps_all(stages):
 def test_encoding_stage(stages):
     texts, tree = {r.doc_id: r.text for r in stages["secrets"]}, TreeEncoder()
     assert len(stages["byte_bpe"]) == len(stages["secrets"])
-    for r in random.Random(1).sample(stages["byte_bpe"], 40):
+    for r in stages["byte_bpe"]:
         assert r.n_tokens == len(tree.encoding.encode_ordinary(texts[r.doc_id]))
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
