@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, risk, taxonomy
+from ..operators import cluster, risk, select, taxonomy
 from ..sources.documents import document_rows, financial_snapshot, purpose_phrases
 from .candidates import FrameSource
 
@@ -65,20 +65,17 @@ def scan(listing: DataFrame, *, structured: DataFrame | None = None, archives: D
 
 
 def candidates(scored: DataFrame) -> DataFrame:
-    """Scored filings as rows of the candidate pipeline."""
-    return scored.select(
+    """Scored filings as rows of the candidate pipeline, numbered in scan order."""
+    rows = scored.select(
         F.concat(F.lit("dart:"), F.col("rcept_no")).alias("candidate_id"),
         F.concat_ws(" — ", "corp_name", "report_nm").alias("title"),
         F.col("attention_score"), F.col("financing_risk_score"),
         F.array_distinct(F.concat(F.array("category", "band"), F.col("cluster_tags"))).alias("tags"),
         F.lit(None).cast("array<double>").alias("embedding"),
-        F.row_number().over(_order()).cast("long").alias("ord"),
+        "rcept_dt", "rcept_no",
     )
-
-
-def _order():
-    # A scan's order is a global rank by nature; only the few columns above are sorted.
-    return Window.orderBy(*(F.col(c).desc() for c in ("attention_score", "financing_risk_score", "rcept_dt", "rcept_no")))
+    order = [F.col(c).desc() for c in ("attention_score", "financing_risk_score", "rcept_dt", "rcept_no")]
+    return select.global_rank(rows, *order, name="ord").drop("rcept_dt", "rcept_no")
 
 
 def filing_source(name: str, load) -> FrameSource:

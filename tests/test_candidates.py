@@ -1,6 +1,7 @@
 """Gates, axes, selectors and the candidate pipeline."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,16 @@ def test_registered_pareto_query_peels_every_layer(spark):
 def test_later_scorer_wins(spark):
     rows = spark.range(1).select(*(F.lit(1.0).alias(c) for c in ("a",)))
     assert axes.score(rows, {"s": F.lit(1)}, {"s": F.lit(2)}).first().s == 2.0
+
+
+def test_wide_frontiers_and_global_ranks(spark):
+    rng = random.Random(4)
+    points = [(i, rng.randrange(12) / 4, rng.randrange(12) / 4, None if i % 9 == 0 else rng.randrange(12) / 4) for i in range(300)]
+    rows = spark.createDataFrame(points, "id long, x double, y double, z double").repartition(5)
+    flat = [(i, [v or 0.0 for v in p]) for i, *p in points]
+    best = {i for i, p in flat if not any(all(a >= b for a, b in zip(o, p, strict=True)) and o != p for _, o in flat)}
+    assert {r.id for r in select.frontier(rows, ("x", "y", "z")).collect()} == best
+    assert {r.id for r in select.frontier(rows, ("x", "y", "z"), block=3).collect()} == best
+    got = select.global_rank(rows, F.col("x").desc(), F.col("id").asc()).orderBy("rank").collect()
+    assert [r.id for r in got] == [i for i, *_ in sorted(points, key=lambda p: (-p[1], p[0]))] and [r["rank"] for r in got] == list(range(1, 301))
+    assert select.global_rank(rows.where("false"), F.col("x").desc()).count() == 0
