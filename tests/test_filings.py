@@ -179,3 +179,18 @@ def test_state_and_streaming_equal_batch(spark, tmp_path):
     assert plan.scan(listing(spark, *rows), seen=table.seen()).counters.first().skipped_seen == len(rows)
     events = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:50:00", "x", 2.0)], "ts string, event_type string, value double")
     assert streaming.event_rates(events).first().total == 3.0
+
+
+def test_state_versions_fold_and_compact(spark, tmp_path):
+    table, want = StateTable(spark, str(tmp_path / "state"), compact=3), {}
+    schema = "rcept_no string, corp_code string, rcept_dt string, band string, updated_at long"
+    for i in range(1, 6):
+        rows = [(str(k), "c", f"2024010{k}", f"b{i}", i) for k in range(i, i + 3)]
+        assert table.save(spark.createDataFrame(rows, schema)) == i
+        for r in rows:
+            want[r[0]] = (r[3], i, want[r[0]][2] if r[0] in want else i)
+        assert {r.rcept_no: (r.band, r.updated_at, r.first_seen_at) for r in table.read().collect()} == want
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["b3", "d1", "d2", "d4", "d5"]
+    assert [r.rcept_no for r in table.recent_events("c", "20240102", "20240106", "3").collect()] == ["2", "4", "5", "6"]
+    assert table.recent_events("other", "20240102", "20240106", "3").count() == 0 and table.seen().count() == 7
+    assert StateTable(spark, str(tmp_path / "none")).read() is None
