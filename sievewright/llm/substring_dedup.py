@@ -12,10 +12,10 @@ same word sequence also starts in a document with a smaller id.
 3. Count-min: a sketch of ``ROWS`` rows of 2^``bits`` cells, a fixed width. Every
    partition counts the cells of its anchors in each row (the partial aggregate is
    the partition's sketch, of which only cells in use are stored), the sketches are merged
-   by cell, and the least count of an anchor's cells estimates how often its windows
-   occur. It can only overestimate, so no repeated window is lost. Windows estimated
-   once are done with, and documents without others are finished.
-4. The remaining texts are packed into chunks. Windows estimated twice or more
+   by cell, and the least count of an anchor's cells estimates in how many texts its
+   windows occur. It can only overestimate, so no repeated window is lost. Windows
+   estimated in one are done with, and documents without others are finished.
+4. The remaining texts are packed into chunks. Windows estimated in two or more
    are dealt by hash to slices of bounded size, each chunk
    sending a window once with its smallest id; a slice finds the smallest id of
    all and answers each chunk with one bit for each of its windows. The chunks
