@@ -10,14 +10,19 @@ from __future__ import annotations
 
 import importlib
 import io
+import json
 import time
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date, datetime, timedelta
 from typing import Any
+from urllib.error import HTTPError
+from urllib.parse import urlencode
+from urllib.request import urlopen
 from xml.etree import ElementTree
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,6 +35,7 @@ STRUCTURED = {"acquisition": "otcprStkInvscrInhDecsn.json", "cb": "cvbdIsDecsn.j
 OK_STATUSES, EMPTY_STATUS, RETRYABLE = ("", "000"), "013", ("020", "800", "900")
 RETRY_HTTP = (429, 500, 502, 503, 504)
 MAX_SPAN_DAYS, MAX_PAGE = 80, 100
+SERVICE = "https://opendart.fss.or.kr/api"
 
 
 class FilingError(Exception):
@@ -60,20 +66,46 @@ def window_frame(spark: SparkSession, start: str, end: str, span: int = MAX_SPAN
     return rows.select(F.date_format("a", "yyyyMMdd").alias("window_start"), F.date_format(last, "yyyyMMdd").alias("window_end"))
 
 
-def fetch(transport: Callable[[str, dict], Any], endpoint: str, params: dict, attempts: int = 3, sleep=time.sleep) -> dict:
-    """The decoded answer; network failures and busy statuses are retried with
-    doubling pauses of at most 4 s. Status 013 is an empty listing."""
+def url_transport(key: str, base: str = SERVICE, timeout: float = 20.0) -> Callable[[str, dict], tuple[int, Any]]:
+    """A transport over HTTP: answers of .json endpoints are decoded, others are bytes."""
+    key = key.strip()
+    if not key:
+        raise FilingError("the service asks for a key")
+
+    def get(endpoint: str, params: dict) -> tuple[int, Any]:
+        url = f"{base.rstrip('/')}/{endpoint.lstrip('/')}?{urlencode({**params, 'crtfc_key': key})}"
+        try:
+            with urlopen(url, timeout=timeout) as answer:  # noqa: S310
+                code, content = answer.status, answer.read()
+        except HTTPError as e:
+            return e.code, None
+        try:
+            return code, json.loads(content) if endpoint.endswith(".json") else content
+        except ValueError as e:
+            raise FilingError(f"the answer isn't JSON: {e}", retryable=True) from e
+
+    return get
+
+
+def _answer(transport: Callable[[str, dict], Any], endpoint: str, params: dict, attempts: int = 3, sleep=time.sleep) -> tuple[int, Any]:
+    """The transport's answer; network failures and busy codes are retried with
+    doubling pauses of at most 4 s."""
     for attempt in range(1, max(attempts, 1) + 1):
         try:
             code, payload = transport(endpoint, params)
             if code not in RETRY_HTTP:
-                break
+                return code, payload
             problem = f"HTTP {code}"
         except OSError as e:
             problem = str(e)
-        if attempt >= attempts:
-            raise FilingError(f"request failed: {problem}", retryable=True)
-        sleep(min(0.5 * 2 ** (attempt - 1), 4.0))
+        if attempt < attempts:
+            sleep(min(0.5 * 2 ** (attempt - 1), 4.0))
+    raise FilingError(f"request failed: {problem}", retryable=True)
+
+
+def fetch(transport: Callable[[str, dict], Any], endpoint: str, params: dict, attempts: int = 3, sleep=time.sleep) -> dict:
+    """The decoded answer. Status 013 is an empty listing."""
+    code, payload = _answer(transport, endpoint, params, attempts, sleep)
     if code >= 400 or not isinstance(payload, dict):
         raise FilingError(f"unexpected answer: HTTP {code}")
     status = str(payload.get("status") or "").strip()
@@ -84,6 +116,41 @@ def fetch(transport: Callable[[str, dict], Any], endpoint: str, params: dict, at
     return payload
 
 
+def fetch_document(transport: Callable[[str, dict], Any], receipt: str, **options) -> bytes:
+    """The archive of a receipt's document; the service's own error otherwise."""
+    code, content = _answer(transport, "document.xml", {"rcept_no": str(receipt)}, **options)
+    if code >= 400:
+        raise FilingError(f"unexpected answer: HTTP {code}")
+    return archive_content(content)
+
+
+def documents_of(receipts: DataFrame, transport: str) -> DataFrame:
+    """(rcept_no, content, problem) of every receipt, fetched by the executors; ``transport``
+    is the dotted name of a transport function. A failure is its row's problem."""
+
+    def run(batches):
+        module, _, function = transport.rpartition(".")
+        get = getattr(importlib.import_module(module), function)
+        for batch in batches:
+            contents, problems = [], []
+            for receipt in batch["rcept_no"].to_pylist():
+                try:
+                    contents.append(fetch_document(get, receipt))
+                    problems.append(None)
+                except FilingError as e:
+                    contents.append(None)
+                    problems.append(f"document: {e}")
+            yield pa.RecordBatch.from_arrays([batch["rcept_no"], pa.array(contents, pa.binary()), pa.array(problems, pa.string())], names=["rcept_no", "content", "problem"])
+
+    return receipts.select(F.col("rcept_no").cast("string")).mapInArrow(run, "rcept_no string, content binary, problem string")
+
+
+def find_receipt(rows: Iterable[dict], receipt: str) -> dict | None:
+    """The first row of a receipt, compared without surrounding blanks."""
+    wanted = str(receipt).strip()
+    return next((dict(r) for r in rows if str(r.get("rcept_no") or "").strip() == wanted), None)
+
+
 def list_rows(payload: dict) -> list[dict]:
     rows = payload.get("list") or []
     if not isinstance(rows, list):

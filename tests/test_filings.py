@@ -194,3 +194,27 @@ def test_state_versions_fold_and_compact(spark, tmp_path):
     assert [r.rcept_no for r in table.recent_events("c", "20240102", "20240106", "3").collect()] == ["2", "4", "5", "6"]
     assert table.recent_events("other", "20240102", "20240106", "3").count() == 0 and table.seen().count() == 7
     assert StateTable(spark, str(tmp_path / "none")).read() is None
+
+
+def document_service(endpoint, params):
+    receipt = params["rcept_no"]
+    if receipt == "1":
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("a.xml", "<TABLE><TR><TD>총자산</TD><TD>7</TD></TR></TABLE>".encode("cp949"))
+        return 200, buffer.getvalue()
+    return (404, None) if receipt == "3" else (200, b"<r><status>020</status><message>busy</message></r>" if receipt == "2" else b"junk")
+
+
+def test_documents_are_fetched_by_receipt(spark):
+    rows = filings.documents_of(spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "rcept_no string"), "tests.test_filings.document_service")
+    got = {r.rcept_no: r for r in rows.collect()}
+    assert got["1"].problem is None and got["2"].problem == "document: document status 020: busy" and "404" in got["3"].problem and "ZIP" in got["4"].problem
+    with pytest.raises(filings.FilingError) as e:
+        filings.fetch_document(document_service, "2")
+    assert e.value.retryable
+    parsed = documents.document_rows(rows.where("content IS NOT NULL"), "rcept_no", "content").first()
+    assert parsed.rows == [["총자산", "7"]]
+    assert filings.find_receipt([{"rcept_no": " 5 "}, {"rcept_no": None}], "5") == {"rcept_no": " 5 "} and filings.find_receipt([], "5") is None
+    with pytest.raises(filings.FilingError):
+        filings.url_transport("  ")
