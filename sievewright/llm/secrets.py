@@ -50,9 +50,9 @@ _MORE = (
     ("url_login", "://", re.compile(r"(?:\b[a-z][a-z0-9+.-]{0,20})://[^\s/:@]+:([^\s/:@]{6,})@")),
 )
 KINDS = (*BASE_KINDS, *(k for k, _, _ in _MORE))
-#: What every finding of any kind contains, in the lower-cased text; texts with none of it aren't moved.
-LITERALS = ("password", "passwd", "secret", "token", "apikey", "api_key", "akia", "eyj", "-----begin", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "://")
-HEX_RUN = "[0-9a-f]{16}"
+#: What findings of the kinds contain; texts with none of it aren't moved.
+LITERALS, HEX_RUN = ("AKIA", "eyJ", "-----BEGIN", "xox", "://"), "[0-9a-f]{16}"
+KEYWORDS, PREFIXES = "(?i)password|passwd|secret|token|api_?key", "gh[pousr]_|k_live_"
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
 
 
@@ -118,12 +118,13 @@ class Ledger:
 
 
 def may_hold(text: Column) -> Column:
-    """False only for texts in which no kind can match: a test without Python, before any text is moved."""
-    low = F.lower(text)
-    out = text.rlike(HEX_RUN)
+    """False only for texts in which no kind can match: a test without Python, before any
+    text is moved. The patterns are tried on texts that hold a sign they need."""
+    out = F.when(text.contains(":") | text.contains("="), text.rlike(KEYWORDS)).otherwise(False)
+    out = out | F.when(text.contains("_"), text.rlike(PREFIXES)).otherwise(False)
     for literal in LITERALS:
-        out = out | low.contains(literal)
-    return out
+        out = out | text.contains(literal)
+    return out | text.rlike(HEX_RUN)
 
 
 def scan_versions(
@@ -199,9 +200,11 @@ def redact(versions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     findings, _ = scan_versions(versions, id_col=id_col, text_col=text_col)
     hits = findings.where(F.size("spans") > 0).select(F.col("blob").alias(row), "spans").dropDuplicates([row])
     hits, _ = written(hits.withColumnRenamed("spans", "sw_spans"), "redactions")
-    joined = versions.withColumn(row, F.sha2(text, 256)).join(hits, row, "left")
+    # Only texts that may hold a finding are joined and go through Python.
+    may = may_hold(text)
+    joined = versions.where(may).withColumn(row, F.sha2(text, 256)).join(hits, row, "left")
     replaced = F.pandas_udf(lambda texts, spans: pd.Series([_without(t, s, mark) for t, s in zip(texts, spans, strict=True)], dtype=object), "string")
-    return joined.withColumn(text_col, replaced(F.col(text_col), F.col("sw_spans"))).select(*names)
+    return joined.withColumn(text_col, replaced(F.col(text_col), F.col("sw_spans"))).select(*names).unionByName(versions.where(~may))
 
 
 def _without(text: str | None, spans, mark: str) -> str | None:
