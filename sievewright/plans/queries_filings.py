@@ -173,7 +173,7 @@ def agg7_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg10_related_categories(spark: SparkSession, sf: str) -> DataFrame:
-    found = cluster.related_events(_clustered(spark, sf)).where("size(related) > 0")
+    found = cluster.by_receipt(cluster.related_events(_clustered(spark, sf))).where("size(related) > 0")
     return found.select("rcept_no", F.array_join(F.array_sort(F.array_distinct(F.transform("related", lambda e: e["category"]))), ",").alias("categories"))
 
 
