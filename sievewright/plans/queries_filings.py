@@ -128,7 +128,7 @@ def _clustered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn3_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    found = cluster.related_events(_clustered(spark, sf))
+    found = cluster.by_receipt(cluster.related_events(_clustered(spark, sf)))
     return found.select("rcept_no", F.array_join(F.transform("related", lambda e: e["rcept_no"]), ",").alias("related"))
 
 

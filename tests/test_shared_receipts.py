@@ -8,7 +8,7 @@ import pytest
 
 from sievewright.plans import registry
 
-NAMES = ["agg10_related_categories"]
+NAMES = ["agg10_related_categories", "jn3_cluster"]
 
 
 @pytest.fixture(scope="module")
