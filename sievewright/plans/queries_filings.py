@@ -136,7 +136,7 @@ def jn4_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Stored events (a third of all) beside the run's: stored ones of the day count whatever their receipt."""
     rows = _clustered(spark, sf)
     stored = rows.where("CAST(substr(rcept_no, 9) AS BIGINT) % 3 = 0")
-    found = cluster.related_events(rows, stored)
+    found = cluster.by_receipt(cluster.related_events(rows, stored))
     return found.select("rcept_no", F.array_join(F.transform("related", lambda e: e["rcept_no"]), ",").alias("related"))
 
 
