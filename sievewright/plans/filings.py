@@ -20,25 +20,30 @@ class Scan:
 
 def enrich(filings: DataFrame, structured: DataFrame | None = None, archives: DataFrame | None = None) -> DataFrame:
     """Classified filings with facts and warnings. ``structured`` holds fact columns
-    by rcept_no (of ``facts.normalise`` after the match); ``archives`` (rcept_no,
-    content) are read only for filings that need a document or have no facts."""
+    by rcept_no (of ``facts.normalise`` after the match), and by structured_kind and
+    corp_code where it has them, so that filings that share a receipt get their own;
+    of several rows of a key the least counts. ``archives`` (rcept_no, content) are
+    read only for filings that need a document or have no facts, one a receipt."""
     rows = filings.withColumn("warnings", F.array().cast("array<string>"))
     if structured is not None:
-        fact = structured.drop("structured_kind").withColumn("sw_found", F.lit(True))
-        rows = rows.join(fact, "rcept_no", "left")
+        keys = ["rcept_no", *(k for k in ("structured_kind", "corp_code") if k in structured.columns)]
+        values = [c for c in structured.columns if c not in keys]
+        fact = structured.groupBy(*keys).agg(F.min(F.struct(F.lit(True).alias("sw_found"), *values)).alias("sw_fact")).select(*keys, "sw_fact.*")
+        rows = rows.join(fact, keys, "left")
         said = F.concat(F.lit("접수번호와 일치하는 "), F.col("structured_kind"), F.lit(" 구조화 행을 찾지 못함"))
         missing = F.col("structured_kind").isNotNull() & F.col("sw_found").isNull()
         rows = rows.withColumn("warnings", F.when(missing, F.array(said)).otherwise(F.col("warnings")))
     else:
         rows = rows.withColumn("sw_found", F.lit(None).cast("boolean"))
     if archives is not None:
-        wanted = rows.where(F.col("requires_document") | F.col("sw_found").isNull()).select("rcept_no")
-        parsed = document_rows(archives.join(wanted, "rcept_no", "left_semi"), "rcept_no", "content")
+        wants = F.col("requires_document") | F.col("sw_found").isNull()
+        needed = archives.join(rows.where(wants).select("rcept_no"), "rcept_no", "left_semi")
+        parsed = document_rows(needed.groupBy("rcept_no").agg(F.min("content").alias("content")), "rcept_no", "content")
         parsed = parsed.select(
             "rcept_no", F.size("rows").alias("document_row_count"), F.nullif(purpose_phrases(F.col("rows")), F.array().cast("array<string>")).alias("business_purpose_phrases"),
-            financial_snapshot(F.col("rows")).alias("document_financial_snapshot"), "problem",
+            financial_snapshot(F.col("rows")).alias("document_financial_snapshot"), "problem", F.lit(True).alias("sw_wants"),
         )
-        rows = rows.join(parsed, "rcept_no", "left")
+        rows = rows.withColumn("sw_wants", wants).join(parsed, ["rcept_no", "sw_wants"], "left").drop("sw_wants")
         rows = rows.withColumn("warnings", F.when(F.col("problem").isNotNull(), F.array_append("warnings", F.col("problem"))).otherwise(F.col("warnings"))).drop("problem")
     return rows.drop("sw_found")
 

@@ -30,7 +30,7 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
         "popt_ctr_atn": F.when(F.col("ord") % 3 == 0, "있음").otherwise("-"),
         "fdpp_bsninh": F.when(F.col("ord") % 2 == 0, F.format_number(F.col("ord") * 5, 0)).otherwise("-"),
     })
-    return facts.normalise({k: rows.where(F.col("structured_kind") == k) for k in facts.KINDS}, "rcept_no")
+    return facts.normalise({k: rows.where(F.col("structured_kind") == k) for k in facts.KINDS}, "rcept_no", "corp_code")
 
 
 def _archives(spark: SparkSession, sf: str) -> DataFrame:

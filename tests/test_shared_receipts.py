@@ -8,7 +8,7 @@ import pytest
 
 from sievewright.plans import registry
 
-NAMES = ["agg10_related_categories", "jn3_cluster", "jn4_merge"]
+NAMES = ["agg10_related_categories", "enr1_enriched_scan", "jn3_cluster", "jn4_merge"]
 
 
 @pytest.fixture(scope="module")
