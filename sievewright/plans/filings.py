@@ -70,7 +70,8 @@ def scan(listing: DataFrame, *, structured: DataFrame | None = None, archives: D
 
 
 def candidates(scored: DataFrame) -> DataFrame:
-    """Scored filings as rows of the candidate pipeline, numbered in scan order."""
+    """Scored filings as rows of the candidate pipeline, numbered in scan order; filings
+    that share a receipt and its scores by title and tags, so that no tie is left open."""
     rows = scored.select(
         F.concat(F.lit("dart:"), F.col("rcept_no")).alias("candidate_id"),
         F.concat_ws(" — ", "corp_name", "report_nm").alias("title"),
@@ -80,6 +81,7 @@ def candidates(scored: DataFrame) -> DataFrame:
         "rcept_dt", "rcept_no",
     )
     order = [F.col(c).desc() for c in ("attention_score", "financing_risk_score", "rcept_dt", "rcept_no")]
+    order += [F.col("title").asc(), F.col("tags").asc()]
     return select.global_rank(rows, *order, name="ord").drop("rcept_dt", "rcept_no")
 
 

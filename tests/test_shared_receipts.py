@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.plans import registry
+from sievewright.plans.filings import candidates
 
 NAMES = ["agg10_related_categories", "enr1_enriched_scan", "jn3_cluster", "jn4_merge"]
 
@@ -32,3 +34,14 @@ def test_query_equals_sql_where_filings_share_a_receipt(spark, sf, name):
     names = sorted(got.columns)
     pick = lambda columns, rows: sorted(repr([r[columns.index(c)] for c in names]) for r in rows)
     assert sorted(want.columns) == names and pick(got.columns, got.collect()) == pick(want.columns, want.fetchall())
+
+
+def test_scan_order_leaves_no_tie_open(spark):
+    """Filings of one receipt with equal scores have one order, however the rows come."""
+    rows = spark.range(40).selectExpr(
+        "'20240101000001' AS rcept_no", "'20240101' AS rcept_dt", "concat('corp ', lpad(id, 2, '0')) AS corp_name", "'name' AS report_nm", "1.0D AS attention_score", "0.0D AS financing_risk_score",
+        "'other' AS category", "'low' AS band", "CAST(array() AS array<string>) AS cluster_tags",
+    )
+    for descending in (True, False):
+        given = rows.orderBy(F.col("corp_name").desc() if descending else F.col("corp_name").asc()).coalesce(1)
+        assert [r.title for r in candidates(given).orderBy("ord").collect()] == [f"corp {i:02} — name" for i in range(40)]
