@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, table, written
-from .components import connected_components
+from .components import connected_components, merged_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Minwise tokens of a class, and how many of them two classes must have in common to be compared in full.
@@ -350,25 +350,23 @@ def near_duplicates(
     nodes = search.keep(nodes.join(busy, "node"), "nodes")  # a class alone in a node meets nobody there
     texts = search.texts_of(nodes.select("cid").distinct())
     tried = search.pivots(nodes)
-    links = links.unionByName(search.confirmed(tried, texts, "pivots"))
+    comps = connected_components(links.unionByName(search.confirmed(tried, texts, "pivots")))
     for level in range(1, levels + 1):
-        comps = connected_components(links)
         found = search.open_nodes(nodes, comps, str(level))
         few = found.where(f"size > {small} AND others <= {small}")
         many = found.where(f"size > {small} AND others > {small}")
         pairs = search.exhaustive(found.where(f"size <= {small}").unionByName(few.where("comp <> main")))
         pairs = search.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{level}")
-        links = links.unionByName(search.confirmed(pairs, texts, str(level)))
+        links = search.confirmed(pairs, texts, str(level))
         tried = tried.unionByName(pairs)
         last = level == levels
         if not (many if last else few).isEmpty() or not few.isEmpty():
             links = links.unionByName(search.blocks(many if last else many.limit(0), few, comps, texts, str(level)))
+        comps = merged_components(comps, links)
         if last or many.isEmpty():
             break
         on = many.select("cid", "n", "node").join(classes.select("cid", "mins"), "cid")
         nodes = search.keep(on.select("cid", "n", F.explode(_branch(_branch(F.array("node"), mins), mins)).alias("node")), f"nodes-{level}")
-    comps = connected_components(links)
-
     component = classes.select("cid", "doc_id").join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = component.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final, _ = written(component.join(least, "comp").select("cid", "component_id"), "components")

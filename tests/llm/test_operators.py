@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import (
     byte_bpe, decontaminate, language, near_dedup, pii, quality_ranker, quality_rules, secrets, sharding, substring_dedup,
 )
-from sievewright.llm.components import connected_components
+from sievewright.llm.components import connected_components, merged_components
 from sievewright.llm.features import text_features
 
 # Columns that clash with names that operators make or use.
@@ -549,6 +549,56 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(61)}}
 
 
+def joined_rows(df, key):
+    """Rows that inner joins on ``key`` made in the last run of a table."""
+    found, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plans.append(p.executedPlan())
+        elif "QueryStage" in name:
+            plans.append(p.plan())
+        else:
+            if "Join" in name and f"[{key}#" in p.simpleString(99):
+                found += p.metrics().apply("numOutputRows").value()
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_components_join_each_edge_about_once(spark, monkeypatch):
+    from sievewright.llm import components
+
+    made = []
+    real = components.written
+
+    def counted(df, label, *more):
+        df.collect()
+        made.append(joined_rows(df, "b"))
+        return real(df, label, *more)
+
+    monkeypatch.setattr(components, "written", counted)
+    # The chain needs a second round: a plan without any row left would lose its joins.
+    chain = [(5000 + i, 5001 + i) for i in range(3)]
+    edges = spark.createDataFrame([(0, 1 + i) for i in range(2000)] + chain, "a long, b long")
+    comps = connected_components(edges)
+    assert sorted(comps.groupBy("comp").count().collect()) == [(0, 2001), (5000, 4)]
+    assert 0 < sum(made) <= 2003, "the joins on b make at most a row an edge"
+
+
+def test_components_after_more_edges(spark):
+    rng = random.Random(12)
+    for n, first, more in ((300, 150, 100), (60, 0, 40), (50, 80, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(first + more)]
+        tables = [spark.createDataFrame(e, "a long, b long") for e in (edges[:first], edges[first:])]
+        got = {r.v: r.comp for r in merged_components(connected_components(tables[0]), tables[1]).collect()}
+        comp = {v: v for e in edges for v in e}
+        for _ in comp:
+            for a, b in edges:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        assert all(got.get(v, v) == c for v, c in comp.items()) and all(v in comp for v in got)
+
+
 # ---- 10
 def brute_contamination(docs, items, width):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
