@@ -29,12 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, label: str, batch_bytes: int | None = None) -> tuple[DataFrame, str]:
     """Cut lineage with a parquet table in the shared folder; (table, path).
-    The files outlive any executor, so a lost one only repeats its own tasks."""
+    The files outlive any executor, so a lost one only repeats its own tasks.
+    ``batch_bytes`` bounds the Arrow batches (but for a single row) while it writes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch_bytes:
+            spark.conf.set(BATCH, batch_bytes)
+        df.write.parquet(path)
+    finally:
+        if batch_bytes:
+            spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

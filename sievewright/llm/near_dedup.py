@@ -35,6 +35,7 @@ other; other columns are not read; empty tables give an empty result.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 from math import comb
 
@@ -50,8 +51,15 @@ from .components import connected_components, merged_components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Minwise tokens of a class, and how many of them two classes must have in common to be compared in full.
 WIDTH, CUT = 64, 36
-#: Bytes of sets that a worker keeps.
-CACHE_BYTES = 64 << 20
+#: Bytes of sets that a worker keeps, and of a batch of texts or pairs of texts on its way to it.
+CACHE_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+
+
+def _trim() -> None:
+    """Give memory that a finished task, of whatever operator, left to its worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -130,6 +138,7 @@ def _profile(k: int):
                     [part["doc_id"], part["tx"], pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(offsets, flat)],
                     names=["doc_id", "tx", "n", "s1", "s2", "mins"],
                 )
+        _trim()
 
     return run
 
@@ -175,6 +184,8 @@ def _confirm(k: int, percent: int):
                 if both and 100 * both >= percent * (m + n - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        sets.clear()
+        _trim()
 
     return run
 
@@ -240,7 +251,7 @@ class _Join:
         self.paths: list[str] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
-        out, path = written(df, label)
+        out, path = written(df, label, BATCH_BYTES)
         self.paths.append(path)
         return out
 
@@ -262,7 +273,10 @@ class _Join:
         shared = self.shared_ids.select("doc_id", F.lit(True).alias("often"))
         carriers = self.classes.select("cid", "doc_id", "tx").join(involved, "cid").join(shared, "doc_id", "left")
         found = self.rows.join(carriers.hint("shuffle_hash"), ["doc_id", "tx"]).select("cid", "text", "often")
-        # Rows may be repeated; only ids that several rows have need a second look.
+        if self.shared_ids.isEmpty():
+            return self.keep(found.select("cid", "text"), "texts")
+        # Rows may be repeated; only ids that several rows have need a second look. Written, so that texts move once.
+        found = self.keep(found, "found")
         once = found.where("often").groupBy("cid").agg(F.min("text").alias("text"))
         return self.keep(found.where("often IS NULL").select("cid", "text").unionByName(once), "texts")
 
@@ -338,7 +352,7 @@ def near_duplicates(
     """Per row: doc_id, n_shingles, class_id (the smallest id with an equal set),
     component_id (the smallest id reachable over links) and kept."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
-    profile, _ = written(rows.mapInArrow(_profile(k), "doc_id long, tx long, n long, s1 long, s2 long, mins array<int>"), "sets")
+    profile, _ = written(rows.mapInArrow(_profile(k), "doc_id long, tx long, n long, s1 long, s2 long, mins array<int>"), "sets", BATCH_BYTES)
     search = _Join(rows, k, percent, small, block)
     classes, links = search.classes_of(profile)
 
@@ -367,6 +381,7 @@ def near_duplicates(
             break
         on = many.select("cid", "n", "node").join(classes.select("cid", "mins"), "cid")
         nodes = search.keep(on.select("cid", "n", F.explode(_branch(_branch(F.array("node"), mins), mins)).alias("node")), f"nodes-{level}")
+
     component = classes.select("cid", "doc_id").join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = component.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final, _ = written(component.join(least, "comp").select("cid", "component_id"), "components")

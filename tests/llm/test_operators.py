@@ -599,6 +599,31 @@ def test_components_after_more_edges(spark):
         assert all(got.get(v, v) == c for v, c in comp.items()) and all(v in comp for v in got)
 
 
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    def small(make):
+        def made(*args):
+            run = make(*args)
+
+            def checked(batches):
+                def each():
+                    for b in batches:
+                        assert b.num_rows == 1 or b.nbytes <= 6 << 20, b.nbytes
+                        yield b
+
+                return run(each())
+
+            return checked
+
+        return made
+
+    for name in ("_profile", "_confirm"):
+        monkeypatch.setattr(near_dedup, name, small(getattr(near_dedup, name)))
+    ten = "array_join(transform(sequence(0, 9), i -> concat('d', id % 150, 'x', i)), ' ')"
+    texts = spark.range(300).selectExpr("id AS doc_id", f"concat(repeat(concat({ten}, ' '), 2000), id) AS text").coalesce(1)
+    got = near_dedup.near_duplicates(texts, k=1, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 150 for i in range(300)}
+
+
 # ---- 10
 def brute_contamination(docs, items, width):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
